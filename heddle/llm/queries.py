@@ -5,6 +5,8 @@ from __future__ import annotations
 from heddle.llm.common import table
 from heddle.llm.decontaminate import contaminated
 from heddle.llm.exact_dedup import exact_dedup
+from heddle.llm.packing import pack
+from heddle.llm.sstable import token_shards
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -15,7 +17,15 @@ def op8_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_decontamination)}
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_shards(spark, sf_dir):
+    return token_shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_best_fit_packing, op6_token_shards, op8_decontamination)}
 
 SQL = {
     "op2_exact_dedup": """
