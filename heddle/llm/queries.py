@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from heddle.llm.common import table
+from heddle.llm.common import crc_mod, table
 from heddle.llm.decontaminate import contaminated
 from heddle.llm.exact_dedup import exact_dedup
+from heddle.llm.langid import held_out_languages
 from heddle.llm.packing import pack
+from heddle.llm.quality import score_quality
 from heddle.llm.sstable import token_shards
+from heddle.llm.toxicity import score_toxicity
 from heddle.llm.urls import judge
 from heddle.llm.warc import archive_round_trip
 
@@ -27,15 +30,31 @@ def op8_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return held_out_languages(docs, crc_mod(docs["doc_id"], 4) == 2).drop("rejected")
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_shards(spark, sf_dir):
     return token_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_exact_dedup, op4_best_fit_packing, op6_token_shards, op7_host_reputation, op8_decontamination)}
+def op10_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc_round_trip, op2_exact_dedup, op3_language_id, op4_best_fit_packing, op5_quality, op6_token_shards, op7_host_reputation, op8_decontamination, op10_toxicity)
+}
 
 SQL = {
     "op2_exact_dedup": """
