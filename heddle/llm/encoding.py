@@ -14,12 +14,13 @@ import os
 import re
 from array import array
 
-CACHED, PRETOKENS = 400_000, 800_000
+CACHED, PRETOKENS = 250_000, 400_000
 
 #: Characters of which Python's classes and the tokenizers' are known to agree.
 _PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u012f\u0131-\u024f]+")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SPACED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LAST, _MARKS = "\u0250", frozenset(",.;:!?")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -35,6 +36,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def width_of(path: str, *more: int) -> int:
+    """Bytes that hold every id of a vocabulary, and those in more."""
+    return 2 if max([*load(path).get_vocab().values(), *more]) < 1 << 16 else 4
+
+
 def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -51,8 +57,9 @@ class _Odd(Exception):
 class _Pieces(dict):
     """Ids by piece of text; a piece not yet seen is learnt. before: what precedes each piece in its text."""
 
-    def __init__(self, tokenizer, before: str, pattern: re.Pattern, pretokens: dict):
+    def __init__(self, tokenizer, before: str, pattern: re.Pattern, pretokens: dict, kind: str):
         super().__init__()
+        self.kind = kind
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
         self.before, self.pattern, self.pretokens = before, pattern, pretokens
 
@@ -64,7 +71,14 @@ class _Pieces(dict):
             raise _Odd
         if len(self) > CACHED:
             self.clear()
-        self[piece] = out = self.plain(self.before + piece) if _PLAIN.fullmatch(piece) else self.library(self.before + piece)
+        known, full = self.pretokens, self.before + piece if self.before else piece.lower()
+        if piece.isalpha() and max(piece) < _LAST and "\u0130" not in piece:  # a word
+            out = known.get(full) or self.learn(full)
+        elif piece[-1] in _MARKS and piece[:-1].isalpha() and max(piece) < _LAST and "\u0130" not in piece:  # a word and a mark
+            out = (known.get(full[:-1]) or self.learn(full[:-1])) + (known.get(full[-1]) or self.learn(full[-1]))
+        else:
+            out = self.plain(full) if _PLAIN.fullmatch(piece) else self.library(self.before + piece)
+        self[piece] = out
         return out
 
     def plain(self, text: str) -> bytes:
@@ -76,25 +90,24 @@ class _Pieces(dict):
         return self.plain(text) if _PLAIN.fullmatch(text) else self.library(text)
 
     def library(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, pretoken: str) -> bytes:
         if len(self.pretokens) > PRETOKENS:
             self.pretokens.clear()
         name = pretoken if pretoken.isascii() and pretoken.isalnum() else pretoken.encode().decode("latin-1").translate(self.letters)
-        self.pretokens[pretoken] = out = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+        self.pretokens[pretoken] = out = array(self.kind, [t.id for t in self.model.tokenize(name)]).tobytes()
         return out
 
 
 class Encoder:
-    """encode(texts): for each text its ids as bytes, unsigned 32-bit little-endian."""
+    """encode(texts): for each text its ids as bytes, unsigned little-endian numbers of `width` bytes, 2 or 4."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         self.tokenizer = load(path)
         vocab = self.tokenizer.get_vocab()
-        self.size = max(vocab.values()) + 1
         self.word_ends = sum(t.endswith("</w>") for t in vocab) > len(vocab) // 10
-        self.pieces = _Pieces(self.tokenizer, *(("", _WORD) if self.word_ends else (" ", _SPACED)), {})
+        self.pieces = _Pieces(self.tokenizer, *(("", _WORD) if self.word_ends else (" ", _SPACED)), {}, {2: "H", 4: "I"}[width])
         self.get = self.pieces.__getitem__
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -27,6 +27,18 @@ def partition_id() -> int:
     return task.partitionId() if task else 0
 
 
+_TYPES = {"long": "int64", "int": "int32", "string": "string", "boolean": "bool_", "double": "float64"}
+
+
+def arrow_rows(rows: list[tuple], schema: str):
+    """A record batch of rows, under a schema like "a long, b string"."""
+    import pyarrow as pa
+
+    fields = [x.split() for x in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, getattr(pa, _TYPES[kind])()) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
 def long_ids(decimal):
     """Identifiers that travelled as text (a nullable long would reach pandas as float and lose digits)."""
     import pandas as pd

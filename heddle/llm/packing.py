@@ -20,13 +20,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import saved
 from heddle.llm.encoding import Encoder, tokenizer_path
-from heddle.llm.files import long_ids
+from heddle.llm.files import arrow_rows
 
 CAPACITY, END_ID = 2048, 0
 #: Ranks in one task, at least, and tasks over all lengths, at most about (bounds the broadcast).
@@ -36,21 +36,22 @@ SALT_ROWS, SALTS = 2_000, 20_000
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for every piece of every document."""
 
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
     def cut(batches):
         encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part, rows = batch.iloc[at : at + 500], []
-                for doc, raw in zip(part["doc_id"], encoder.encode([t if isinstance(t, str) else None for t in part["text"]]), strict=True):
+            rows = []
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                for doc, raw in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
                     raw += end
                     for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[start : start + 4 * capacity]
                         rows.append((doc, piece, start // 4, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.assign(doc_id=long_ids(out["doc_id"]))
+            yield arrow_rows(rows, schema)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -116,13 +117,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def seat(batches):
         for batch in batches:
+            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for length, at in batch.groupby("length", sort=False).indices.items():
-                own, rank = held.value[length], batch["rank"].to_numpy()[at]
-                i = np.searchsorted(own[:, 0], rank, "right") - 1
-                sequence[at], offset[at] = own[i, 2] + rank - own[i, 0], own[i, 3]
-            yield batch.drop(columns="rank").assign(doc_id=long_ids(batch["doc_id"]), sequence_id=sequence, offset=offset)
-
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            order = np.argsort(lengths, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+                if len(at):
+                    own, rank = held.value[int(lengths[at[0]])], ranks[at]
+                    i = np.searchsorted(own[:, 0], rank, "right") - 1
+                    sequence[at], offset[at] = own[i, 2] + rank - own[i, 0], own[i, 3]
+            yield batch.drop_columns(["rank"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(all_pieces, histogram).select(F.col("doc_id").cast("string").alias("doc_id"), *columns[1:], "rank").mapInPandas(seat, schema)
+    return ranked(all_pieces, histogram).select(*columns).mapInArrow(seat, schema)

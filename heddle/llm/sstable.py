@@ -27,13 +27,12 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import saved, shared_dir
-from heddle.llm.encoding import Encoder, tokenizer_path
-from heddle.llm.files import attempt_name, long_ids, open_fs, partition_id
+from heddle.llm.encoding import Encoder, tokenizer_path, width_of
+from heddle.llm.files import arrow_rows, attempt_name, open_fs, partition_id
 
 MAGIC = b"HSSTABL1"
 BLOCK, RESTART, BITS_PER_KEY, HASHES = 1 << 18, 16, 10, 7
@@ -69,7 +68,8 @@ class Writer:
     def _fresh(self):
         self.body, self.restarts, self.n, self.before, self.first, self.last = bytearray(), [], 0, self.ids, b"", b""
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
+    def add(self, key: bytes, value: bytes) -> None:
+        """value: ids of the shard's width; keys must ascend."""
         shared = 0
         if self.n % RESTART == 0:
             self.restarts.append(len(self.body))
@@ -78,9 +78,8 @@ class Writer:
                 shared += 1
         if not self.n:
             self.first = key
-        value = ids.astype(f"<u{self.width}").tobytes()
         self.body += _ENTRY.pack(shared, len(key) - shared, len(value)) + key[shared:] + value
-        self.last, self.n, self.entries, self.ids = key, self.n + 1, self.entries + 1, self.ids + len(ids)
+        self.last, self.n, self.entries, self.ids = key, self.n + 1, self.entries + 1, self.ids + len(value) // self.width
         self.keys.append(key)
         if len(self.body) >= BLOCK:
             self._flush()
@@ -186,29 +185,28 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Tokenises docs into shards below folder; returns a saved row per shard: shard, path, entries, ids, base (ids of the shards before)."""
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
+    schema, width = "shard int, path string, entries long, ids long", width_of(tokenizer, end_id)
+
     def write(batches):
-        encoder, fs, root = Encoder(tokenizer), *open_fs(folder)
-        end, writer = np.array([end_id], "<u4"), None
-        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
+        encoder, end, writer = Encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), None
+        fs, root = open_fs(folder)
         name = attempt_name(partition_id(), ".sst")
         for batch in batches:
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(out, width)
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                for doc, raw in zip(part["doc_id"], encoder.encode([t if isinstance(t, str) else None for t in part["text"]]), strict=True):
-                    writer.add(key_of(None if pd.isna(doc) else int(doc)), np.concatenate([np.frombuffer(raw, "<u4"), end]))
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                for doc, raw in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
+                    writer.add(key_of(doc), raw + end)
         if writer is not None:
             writer.close()
             out.close()
-            yield pd.DataFrame({"shard": [partition_id()], "path": [name], "entries": [writer.entries], "ids": [writer.ids]})
+            yield arrow_rows([(partition_id(), name, writer.entries, writer.ids)], schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # a nullable long would reach pandas as float and lose digits
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    shards = saved(rows.mapInPandas(write, "shard int, path string, entries long, ids long"))
+    shards = saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, schema))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -216,26 +214,23 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """What the shards hold: doc_id, start, n_tokens, ids_crc32."""
 
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
     def read(batches):
         fs, root = open_fs(folder)
         for batch in batches:
-            for path, base in zip(batch["path"], batch["base"], strict=True):
+            for path, base in zip(batch["path"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{path}") as file:
                     rows = []
                     for key, ids, before in Reader(file).entries():
-                        rows.append((id_of(key), base + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((id_of(key), base + before, len(ids), zlib.crc32(ids.astype("<u4"))))
                         if len(rows) == 20_000:
-                            yield _frame(rows)
+                            yield arrow_rows(rows, schema)
                             rows = []
-                    yield _frame(rows)
+                    yield arrow_rows(rows, schema)
 
     spread = max(1, shards.count())
-    return shards.select("path", "base").repartition(min(spread, 100_000)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return out.assign(doc_id=long_ids(out["doc_id"]))
+    return shards.select("path", "base").repartition(min(spread, 100_000)).mapInArrow(read, schema)
 
 
 def token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
