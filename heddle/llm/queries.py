@@ -6,6 +6,7 @@ from heddle.llm.common import crc_mod, table
 from heddle.llm.decontaminate import contaminated
 from heddle.llm.exact_dedup import exact_dedup
 from heddle.llm.langid import held_out_languages
+from heddle.llm.near_dedup import near_classes
 from heddle.llm.packing import pack
 from heddle.llm.quality import score_quality
 from heddle.llm.sstable import token_shards
@@ -47,13 +48,17 @@ def op6_token_shards(spark, sf_dir):
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_round_trip, op2_exact_dedup, op3_language_id, op4_best_fit_packing, op5_quality, op6_token_shards, op7_host_reputation, op8_decontamination, op10_toxicity)
+    for f in (op1_warc_round_trip, op2_exact_dedup, op3_language_id, op4_best_fit_packing, op5_quality, op6_token_shards, op7_host_reputation, op8_decontamination, op9_minhash_near_dedup, op10_toxicity)
 }
 
 SQL = {
