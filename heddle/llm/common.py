@@ -67,3 +67,15 @@ def per_class_sample(df: DataFrame, key: str, label: str, per_class: int) -> Dat
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.where(F.col(label).isNotNull() & (draw < share[F.col(label)]))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose identifier is in gone's only column; null identifiers stay."""
+    ids = saved(gone.toDF("__gone").where("__gone is not null").distinct())
+    return docs.join(maybe_broadcast(ids, ids.count()), docs[id_col] == ids["__gone"], "left_anti")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this application wrote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

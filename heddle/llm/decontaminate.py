@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import maybe_broadcast, saved
+from heddle.llm.common import maybe_broadcast, saved, without
 
 WORDS, SHARE, SIZE_STEP = 5, 0.8, 1.25
 
@@ -78,6 +78,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that contaminated() reports; columns as they are."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct()
-    hit = saved(hit)
-    return docs.join(maybe_broadcast(hit, hit.count()), docs["doc_id"] == hit["__hit"], "left_anti")
+    return without(docs, "doc_id", contaminated(docs, items).select("doc_id"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import saved
+from heddle.llm.common import saved, without
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
@@ -74,5 +74,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup() drops; columns as they are."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return without(docs, id_col, exact_dedup(docs, id_col, text_col).where("not kept").select("doc_id"))

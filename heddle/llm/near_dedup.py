@@ -40,8 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import maybe_broadcast, saved
-from heddle.llm.files import arrow_rows
+from heddle.llm.common import maybe_broadcast, saved, without
 
 WORDS, SHARE = 5, 0.8
 HASHES, MISS, SIZE_STEP, SEED = 384, 3e-3, 2.0, 5
@@ -239,5 +238,4 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """docs with one document of each class; columns as they are."""
-    gone = near_classes(docs, id_col, text_col, share).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return without(docs, id_col, near_classes(docs, id_col, text_col, share).where("not kept").select("doc_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from heddle.llm.common import crc_mod, table
 from heddle.llm.decontaminate import contaminated
 from heddle.llm.exact_dedup import exact_dedup
@@ -56,9 +57,13 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_round_trip, op2_exact_dedup, op3_language_id, op4_best_fit_packing, op5_quality, op6_token_shards, op7_host_reputation, op8_decontamination, op9_minhash_near_dedup, op10_toxicity)
+    for f in (op1_warc_round_trip, op2_exact_dedup, op3_language_id, op4_best_fit_packing, op5_quality, op6_token_shards, op7_host_reputation, op8_decontamination, op9_minhash_near_dedup, op10_toxicity, pipeline)
 }
 
 SQL = {
