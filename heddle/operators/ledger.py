@@ -66,7 +66,7 @@ def refutation_mode(refutations: DataFrame) -> DataFrame:
 def selfcheck(findings: DataFrame, refutations: DataFrame, metrics: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, problem) for every rule that a finding breaks. metrics: (metric); sources: (source) that resolve."""
     blank = [findings.where(F.trim(F.coalesce(c, F.lit(""))) == "").select("id", F.lit(f"blank {c}").alias("problem")) for c in REQUIRED]
-    each = findings.select("id", F.explode(F.transform(F.split("source", ";"), F.trim)).alias("source")).where("source <> ''")
+    each = findings.select("id", F.explode(F.transform(F.split("source", ";"), lambda x: F.trim(x))).alias("source")).where("source <> ''")
     unresolved = each.join(sources, "source", "left_anti").select("id", F.concat(F.lit("unresolved "), "source").alias("problem"))
     gains = findings.where("coalesce(gain_metric, 'manual') <> 'manual'").join(metrics.select(F.col("metric").alias("gain_metric")), "gain_metric", "left_anti").select("id", F.concat(F.lit("unknown metric "), "gain_metric").alias("problem"))
     seen = refutations.groupBy("finding_id").agg(F.countDistinct(lens_key("lens")).alias("lenses"), F.count(F.when(F.col("mode") == "parallel", 1)).alias("parallel"), F.count("*").alias("n"))
