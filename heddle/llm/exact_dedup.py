@@ -66,7 +66,7 @@ def _by(part: str, order: str):
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chunks."""
     each = recipes(docs, id_col, text_col, hash_bits)
-    groups = each.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = saved(each.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))  # saved, so that the join has a shuffle on either side and can split a hot recipe
     return each.join(groups, "recipe").select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("chunks")
     )
