@@ -12,12 +12,19 @@ bands) is tuned to that similarity by itself: the most rows for which a pair at
 missed with probability MISS at most. A document is indexed in its own partition and looks into
 the next one if a linked larger document could lie there. Whoever shares a band is a candidate.
 
-Candidates are compared exactly, on their full shingle sets. Within a band not all pairs are formed:
-in the first round all members are compared with the band's smallest identifier; a band whose
-members are one component then is done, as more links would change nothing. In the others, the
-smallest member of each component is compared with the members of the other components, and what
-is still apart after that is compared across components. So no link between different texts is
-lost that a band proposed, and a group of thousands of copies costs one comparison a copy.
+Candidates are compared exactly, on their full shingle sets, and never as all pairs of a band:
+
+    1. every document with one other, the smallest that it shares a band with;
+    2. in bands with several components, the smallest member of each with the smallest of all;
+    3. in those still apart, the smallest member of each component with the other components' members;
+    4. what is still apart then, across components.
+
+A band whose members are one component is done, as more links would change nothing; so a family of
+thousands of copies costs a few comparisons a copy. In a band with more than CROWD components, which is
+what a passage makes that very many documents quote, two documents are only candidates if they share
+a second band: that band is replaced by its combinations with its members' other bands. A linked
+pair shares several bands (5.6 on average even at the bound), so the share that this misses is of the
+order of MISS, while what merely shares a passage seldom meets twice.
 
 Bands, links and labels are joined and aggregated in the cluster. A third of all rows in one band or one
 class is combined before the shuffle or is the side that adaptive execution splits.
@@ -43,7 +50,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import maybe_broadcast, saved, without
 
 WORDS, SHARE = 5, 0.8
-HASHES, MISS, SIZE_STEP, SEED = 384, 3e-3, 2.0, 5
+HASHES, MISS, SIZE_STEP, CROWD, SEED = 384, 3e-3, 2.0, 16, 5
 _WORD = re.compile(r"\w+")
 _CACHED = 300_000
 
@@ -204,6 +211,23 @@ def linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, share: float) ->
     return pairs.where(F.size(F.array_intersect("sa", "sb")) >= F.lit(share - 1e-9) * F.greatest(F.size("sa"), F.size("sb"))).select("a", "b").distinct()
 
 
+def _apart(now: DataFrame) -> DataFrame:
+    """The rows (band, id, label) of bands with more than one label."""
+    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    return now.join(several, "band")
+
+
+def _uncrowded(now: DataFrame, members: DataFrame) -> DataFrame:
+    """now, bands of more than CROWD labels being replaced by what their members share besides."""
+    now = saved(now)
+    crowded = now.select("band", "label").distinct().groupBy("band").count().where(F.col("count") > CROWD).select("band")
+    crowded = saved(crowded)
+    other = members.select("id", F.col("band").alias("other"))
+    both = now.join(crowded, "band").join(other, "id").where("band <> other")
+    both = both.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "id", "label").distinct()
+    return now.join(crowded, "band", "left_anti").unionByName(_apart(both))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest identifier of its class), kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -216,18 +240,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("band", "pivot")
     members = saved(banded.join(shared, "band"))
 
-    pairs = saved(members.where("id <> pivot").select(*_ordered("id", "pivot")).distinct())
+    nearest = members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
+    pairs = saved(nearest.select(*_ordered("id", "pivot")).distinct())
     links, checked = saved(linked(rows, pairs, sizes, share)), pairs
-    for last in (False, True):
+    for step in ("heads", "members", "all"):
         labels = components(links)
         now = members.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-        apart = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        now = saved(now.join(apart, "band"))
+        now = saved(_uncrowded(_apart(now), members))
         if now.isEmpty():
             break
-        heads = now if last else now.groupBy("band", "label").agg(F.min("id").alias("id"))
-        heads = heads.select("band", F.col("id").alias("head"), F.col("label").alias("head_label"))
-        pairs = now.join(heads, "band").where("label <> head_label").select(*_ordered("id", "head")).distinct()
+        heads = now.groupBy("band", "label").agg(F.min("id").alias("head"))
+        if step == "heads":
+            others, heads = heads.select("band", F.col("head").alias("id"), "label"), heads.groupBy("band").agg(F.min_by("label", "head").alias("head_label"), F.min("head").alias("head"))
+        else:
+            others, heads = now, heads.withColumnRenamed("label", "head_label") if step == "members" else now.select("band", F.col("id").alias("head"), F.col("label").alias("head_label"))
+        pairs = others.join(heads, "band").where("label <> head_label").select(*_ordered("id", "head")).distinct()
         pairs = saved(pairs.join(checked, ["a", "b"], "left_anti"))
         links, checked = saved(links.unionByName(linked(rows, pairs, sizes, share))), saved(checked.unionByName(pairs))
     else:
