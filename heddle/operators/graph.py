@@ -17,8 +17,8 @@ from heddle.operators.ranks import with_percentile
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once, in the folder that the cluster names in spark.checkpoint.dir; a temporary one if it names none."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="heddle-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heddle-"))
     return df.checkpoint(eager=True)
 
 
