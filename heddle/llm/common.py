@@ -21,12 +21,10 @@ def shared_root(spark: SparkSession) -> str:
 
     Only where none is named (a single machine, as in tests) a temporary one is set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="heddle-")
+        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="heddle-")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
