@@ -19,7 +19,7 @@ no rows. Other columns are ignored and may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import saved, without
@@ -48,7 +48,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, hash_bits: int = 64) ->
     if shared.isEmpty():
         return plain
     # Some hashes stand for several chunks. Their chunks get ordinals, and the ordinals join the recipe.
-    numbered = pieces.distinct().join(shared, "h").select("h", "chunk", F.row_number().over(_by("h", "chunk")).alias("ordinal"))
+    numbered = pieces.distinct().join(shared, "h").select("h", "chunk", F.row_number().over(Window.partitionBy("h").orderBy("chunk")).alias("ordinal"))
     row = base.withColumn("row", F.monotonically_increasing_id())
     row = saved(row)
     spots = row.select("row", F.posexplode(cut).alias("pos", "chunk")).withColumn("h", chunk_hash(F.col("chunk"), hash_bits))
@@ -57,12 +57,6 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, hash_bits: int = 64) ->
     return row.join(lists, "row", "left").select("id", F.coalesce(F.flatten("lists"), F.expr("cast(array() as array<bigint>)")).alias("recipe"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-def _by(part: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chunks."""
     each = recipes(docs, id_col, text_col, hash_bits)

@@ -15,9 +15,9 @@ the next one if a linked larger document could lie there. Whoever shares a band
 Candidates are compared exactly, on their full shingle sets, and never as all pairs of a band:
 
     1. every document with one other, the smallest that it shares a band with;
-    2. in bands with several components, the smallest member of each with the smallest of all;
-    3. in those still apart, the smallest member of each component with the other components' members;
-    4. what is still apart then, across components.
+    2. in bands with several components, twice: every document outside the band's largest component with one
+       member of that, picked by a hash that differs between the rounds;
+    3. what is still apart then, across components.
 
 A band whose members are one component is done, as more links would change nothing; so a family of
 thousands of copies costs a few comparisons a copy. In a band with more than CROWD components, which is
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import maybe_broadcast, saved, without
 
 WORDS, SHARE = 5, 0.8
-HASHES, MISS, SIZE_STEP, CROWD, SEED = 384, 3e-3, 2.0, 16, 5
+HASHES, MISS, SIZE_STEP, CROWD, ROUNDS, SEED = 384, 3e-3, 2.0, 16, 3, 5
 _WORD = re.compile(r"\w+")
 _CACHED = 300_000
 
@@ -228,6 +228,14 @@ def _uncrowded(now: DataFrame, members: DataFrame) -> DataFrame:
     return now.join(crowded, "band", "left_anti").unionByName(_apart(both))
 
 
+def _with_majority(now: DataFrame, seed: int) -> DataFrame:
+    """A pair (a, b) for every document outside a band's largest component: with one member of that, from one of its bands."""
+    parts = now.groupBy("band", "label").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(seed))).alias("one"))
+    top = parts.groupBy("band").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("top"))
+    outside = now.join(top, "band").where("label <> top.label")
+    return outside.groupBy("id").agg(F.min_by("top.one", F.xxhash64("band", F.lit(seed))).alias("one")).select(*_ordered("id", "one")).distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest identifier of its class), kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -243,18 +251,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nearest = members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
     pairs = saved(nearest.select(*_ordered("id", "pivot")).distinct())
     links, checked = saved(linked(rows, pairs, sizes, share)), pairs
-    for step in ("heads", "members", "all"):
+    for step in range(1, ROUNDS + 1):
         labels = components(links)
         now = members.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
         now = saved(_uncrowded(_apart(now), members))
         if now.isEmpty():
             break
-        heads = now.groupBy("band", "label").agg(F.min("id").alias("head"))
-        if step == "heads":
-            others, heads = heads.select("band", F.col("head").alias("id"), "label"), heads.groupBy("band").agg(F.min_by("label", "head").alias("head_label"), F.min("head").alias("head"))
+        if step < ROUNDS:
+            pairs = _with_majority(now, step)
         else:
-            others, heads = now, heads.withColumnRenamed("label", "head_label") if step == "members" else now.select("band", F.col("id").alias("head"), F.col("label").alias("head_label"))
-        pairs = others.join(heads, "band").where("label <> head_label").select(*_ordered("id", "head")).distinct()
+            pairs = now.join(now.select("band", F.col("id").alias("other"), F.col("label").alias("other_label")), "band").where("id < other and label <> other_label").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
         pairs = saved(pairs.join(checked, ["a", "b"], "left_anti"))
         links, checked = saved(links.unionByName(linked(rows, pairs, sizes, share))), saved(checked.unionByName(pairs))
     else:
