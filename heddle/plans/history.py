@@ -15,6 +15,7 @@ from heddle.operators import cooccur as CO
 from heddle.operators import graph as G
 from heddle.operators import hotspots as H
 from heddle.operators import ledger as L
+from heddle.operators import patterns as PT
 from heddle.operators import prune as P
 from heddle.operators import timelines as T
 from heddle.operators.ranks import with_percentile
@@ -570,3 +571,49 @@ def digests(spark, d):
     from heddle.functions.documents import fnv1a
 
     return t(spark, d, "customer").select("c_custkey", fnv1a("c_name").alias("digest"))
+
+
+# -- disagreements ------------------------------------------------------------------------------
+
+_INTENT = """
+places AS (SELECT n_nationkey AS node, n_regionkey AS layer FROM nation),
+rules AS (SELECT a.r_regionkey AS s, b.r_regionkey AS t FROM region a, region b WHERE (a.r_regionkey + b.r_regionkey) % 2 = 1)"""
+
+
+def _intent(spark, d):
+    places = t(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("layer"))
+    region = t(spark, d, "region").select("r_regionkey")
+    other = region.withColumnRenamed("r_regionkey", "dst_layer")
+    rules = region.join(other, (F.col("r_regionkey") + F.col("dst_layer")) % 2 == 1).select(F.col("r_regionkey").alias("src_layer"), "dst_layer", F.lit(False).alias("allowed"))
+    return places, rules
+
+
+@query(f"""WITH RECURSIVE {_CYCLES}, {_NATION_PAIRS}, {_INTENT} SELECT a, b, degree FROM coupled JOIN places x ON x.node = a JOIN places y ON y.node = b
+    WHERE EXISTS (SELECT 1 FROM rules WHERE s = x.layer AND t = y.layer) AND NOT EXISTS (SELECT 1 FROM scc p JOIN scc q ON p.cycle = q.cycle WHERE p.node = a AND q.node = b)""")
+def nominal_seams(spark, d):
+    places, rules = _intent(spark, d)
+    return PT.nominal_seams(_nation_pairs(spark, d), places, rules, G.cycles(_edges(spark, d)), 0.12)
+
+
+@query(f"""WITH {_EDGES}, {_NATION_PAIRS}, {_INTENT} SELECT a, b, degree FROM coupled JOIN places x ON x.node = a JOIN places y ON y.node = b
+    WHERE EXISTS (SELECT 1 FROM rules WHERE s = x.layer AND t = y.layer) AND NOT EXISTS (SELECT 1 FROM edges WHERE (src = a AND dst = b) OR (src = b AND dst = a))""")
+def perimeter_holes(spark, d):
+    places, rules = _intent(spark, d)
+    return PT.perimeter_holes(_nation_pairs(spark, d), places, rules, _edges(spark, d))
+
+
+@query("SELECT DISTINCT l_partkey + 50 AS node FROM lineitem WHERE l_partkey + 50 NOT IN (SELECT p_partkey FROM part)")
+def phantoms(spark, d):
+    return PT.phantoms(t(spark, d, "lineitem").select((F.col("l_partkey") + 50).alias("node")), t(spark, d, "part").select(F.col("p_partkey").alias("node")))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM edges WHERE (src + dst) % 2 = 0 AND dst IN (SELECT node FROM deg WHERE fan_in >= 2)")
+def intent_drift(spark, d):
+    edges = _edges(spark, d)
+    return PT.intent_drift(edges.where("(src + dst) % 2 = 0"), edges, G.degrees(edges).where("fan_in >= 2"))
+
+
+@query("SELECT p_partkey AS node, count(DISTINCT l_orderkey) AS edits FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_orderkey) < 22")
+def blind_spots(spark, d):
+    edits = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.countDistinct("l_orderkey").alias("edits"))
+    return PT.blind_spots(t(spark, d, "part").select(F.col("p_partkey").alias("node")), edits, 22)
