@@ -15,8 +15,8 @@ the next one if a linked larger document could lie there. Whoever shares a band
 Candidates are compared exactly, on their full shingle sets, and never as all pairs of a band:
 
     1. every document with one other, the smallest that it shares a band with;
-    2. in bands with several components, twice: every document outside the band's largest component with one
-       member of that, picked by a hash that differs between the rounds;
+    2. in bands with several components, every document outside the band's largest component with one member of
+       that, picked by a hash;
     3. what is still apart then, across components.
 
 A band whose members are one component is done, as more links would change nothing; so a family of
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import maybe_broadcast, saved, without
 
 WORDS, SHARE = 5, 0.8
-HASHES, MISS, SIZE_STEP, CROWD, ROUNDS, SEED = 384, 3e-3, 2.0, 16, 3, 5
+HASHES, MISS, SIZE_STEP, CROWD, ROUNDS, SEED = 384, 3e-3, 2.0, 16, 2, 5
 _WORD = re.compile(r"\w+")
 _CACHED = 300_000
 
@@ -203,8 +203,8 @@ def linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, share: float) ->
     for end in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("id").alias(end), F.col("size").alias(f"n{end}")), end)
     pairs = saved(pairs.where(near))
-    ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    found = docs.join(maybe_broadcast(ids, ids.count()), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    found = docs.join(maybe_broadcast(ids, 2 * pairs.count()), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
     found = saved(found)
     for end in ("a", "b"):
         pairs = pairs.join(found.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")), end)
@@ -221,7 +221,6 @@ def _uncrowded(now: DataFrame, members: DataFrame) -> DataFrame:
     """now, bands of more than CROWD labels being replaced by what their members share besides."""
     now = saved(now)
     crowded = now.select("band", "label").distinct().groupBy("band").count().where(F.col("count") > CROWD).select("band")
-    crowded = saved(crowded)
     other = members.select("id", F.col("band").alias("other"))
     both = now.join(crowded, "band").join(other, "id").where("band <> other")
     both = both.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "id", "label").distinct()
