@@ -36,7 +36,8 @@ def arrow_rows(rows: list[tuple], schema: str):
 
     fields = [x.split() for x in schema.split(",")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, getattr(pa, _TYPES[kind])()) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+    kinds = {k: getattr(pa, t)() for k, t in _TYPES.items()} | {"ints": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
 def long_ids(decimal):

@@ -22,11 +22,12 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import crc_mod, per_class_sample
+from heddle.llm.files import arrow_rows
 from heddle.llm.pulearn import Rows, estimated_prior, fit, sigmoid
 
 POSITIVES, UNLABELLED, ERRORS = 4_000, 12_000, 3.0
@@ -78,10 +79,12 @@ def train_model(spark, positives: DataFrame, unlabelled: DataFrame, prior: float
 
     def number(batches):
         for batch in batches:
-            yield pd.DataFrame({"positive": batch["positive"], "f": [bins(t).tolist() for t in batch["text"]]})
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                yield arrow_rows([(p, bins(t).tolist()) for p, t in zip(part["positive"].to_pylist(), part["text"].to_pylist(), strict=True)], "positive boolean, f ints")
 
     both = positives.select(F.col(text_col).alias("text"), F.lit(True).alias("positive")).unionByName(unlabelled.select(F.col(text_col).alias("text"), F.lit(False).alias("positive")))
-    rows = sorted((r["positive"], r["f"]) for r in both.mapInPandas(number, "positive boolean, f array<int>").collect())
+    rows = sorted((r["positive"], r["f"]) for r in both.mapInArrow(number, "positive boolean, f array<int>").collect())
     p, u = Rows.of([features(np.array(f)) for x, f in rows if x]), Rows.of([features(np.array(f)) for x, f in rows if not x])
     return fit(p, u, SIZE, prior)
 
@@ -107,10 +110,13 @@ def scorer(spark, weights: np.ndarray, bias: float):
     """A column function: text to score."""
     held, each = spark.sparkContext.broadcast((table_of(weights), bias)), np.arange(SIZE // _BINS)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         table, b = held.value
-        return pd.Series([float(sigmoid(table[each, bins(t)].sum() + b)) for t in texts], dtype="float64")
+        out = []
+        for at in range(0, len(texts), 200):  # a slice at a time becomes Python strings
+            out += [float(sigmoid(table[each, bins(t)].sum() + b)) for t in texts.slice(at, 200).to_pylist()]
+        return pa.array(out, pa.float64())
 
     return score
 
