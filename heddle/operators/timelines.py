@@ -72,11 +72,25 @@ def edits_by_quarter(rows: DataFrame, at: str, now: int, span: float) -> DataFra
     return every.join(found, "bucket", "left").select("bucket", F.coalesce("edits", F.lit(0)).alias("edits"))
 
 
+def _across(rows: DataFrame, at: str, gap: int) -> DataFrame:
+    """rows with the episode that they are in, over all rows.
+
+    Rows of one slice of time as long as the gap are one episode, so only the slices are put in order: a row for each
+    gap of the time span, whatever the number of rows.
+    """
+    part, order = F.col(at) - F.pmod(F.col(at), F.lit(max(gap, 1))), Window.orderBy("part")
+    rows = rows.withColumn("part", part)
+    parts = rows.groupBy("part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    cut = F.when(F.col("first") - F.lag("last").over(order) <= gap, 0).otherwise(1)
+    runs = parts.withColumn("cut", cut).select("part", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("episode"))
+    return rows.join(F.broadcast(runs), "part").drop("part")
+
+
 def pain_per_quarter(each: DataFrame, width: str, now: int, since_days: int = 365, gap: int = DEFAULTS.episode_gap_days * DAY) -> DataFrame:
     """From fix events (at, tie, width): fix episodes, episodes a quarter, median width, and their product."""
-    runs = episodes(each.where((F.col("at") > now - since_days * DAY) & (F.col("at") <= now)), None, "at", "tie", gap)
-    total = runs.agg(F.count("*").alias("fix_episodes"))
-    widths = each.where((F.col("at") > now - since_days * DAY) & (F.col("at") <= now)).agg(F.median(width).alias("median_width"))
+    seen = each.where((F.col("at") > now - since_days * DAY) & (F.col("at") <= now))
+    total = _across(seen, "at", gap).agg(F.countDistinct("episode").alias("fix_episodes"))
+    widths = seen.agg(F.median(width).alias("median_width"))
     one = total.withColumn("one", F.lit(1)).join(widths.withColumn("one", F.lit(1)), "one").drop("one")
     per = F.col("fix_episodes") / F.lit(since_days / 91.25)
     return one.select("fix_episodes", per.alias("episodes_per_quarter"), "median_width", (per * F.coalesce("median_width", F.lit(0.0))).alias("pain"))
