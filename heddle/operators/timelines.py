@@ -86,12 +86,14 @@ def _across(rows: DataFrame, at: str, gap: int) -> DataFrame:
     return rows.join(F.broadcast(runs), "part").drop("part")
 
 
-def pain_per_quarter(each: DataFrame, width: str, now: int, since_days: int = 365, gap: int = DEFAULTS.episode_gap_days * DAY) -> DataFrame:
-    """From fix events (at, tie, width): fix episodes, episodes a quarter, median width, and their product."""
-    seen = each.where((F.col("at") > now - since_days * DAY) & (F.col("at") <= now))
-    total = _across(seen, "at", gap).agg(F.countDistinct("episode").alias("fix_episodes"))
-    widths = seen.agg(F.median(width).alias("median_width"))
-    one = total.withColumn("one", F.lit(1)).join(widths.withColumn("one", F.lit(1)), "one").drop("one")
+def pain_per_quarter(touches: DataFrame, item: str, fix: Column, now: int, since_days: int = 365, gap: int = DEFAULTS.episode_gap_days * DAY) -> DataFrame:
+    """From all touching events (at, item; a row an item): fix episodes, episodes a quarter, median width, and their product.
+
+    Episodes are formed over all events and kept if one of them is a fix; an episode's width is the number of its distinct items.
+    """
+    seen = touches.where((F.col("at") > now - since_days * DAY) & (F.col("at") <= now)).withColumn("fix", fix)
+    each = _across(seen, "at", gap).groupBy("episode").agg(F.max("fix").alias("fixed"), F.countDistinct(item).alias("width"))
+    one = each.where("fixed").agg(F.count("*").alias("fix_episodes"), F.median("width").alias("median_width"))
     per = F.col("fix_episodes") / F.lit(since_days / 91.25)
     return one.select("fix_episodes", per.alias("episodes_per_quarter"), "median_width", (per * F.coalesce("median_width", F.lit(0.0))).alias("pain"))
 

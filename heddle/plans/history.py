@@ -272,9 +272,9 @@ c AS (SELECT *, CASE WHEN tick - lag(tick) OVER (ORDER BY tick, o_orderkey) <= 3
     q AS (SELECT *, episodes_per_quarter * coalesce(median_width, 0) AS pain FROM p)
     SELECT *, CASE WHEN pain > 0 THEN 100.0 / pain END AS quarters, CASE WHEN NOT pain > 0 THEN 'cold' WHEN 100.0 / pain <= 4 THEN 'ok' ELSE 'too_costly' END AS verdict FROM q""")
 def payback(spark, d):
-    fixes = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.floor(us("o_orderdate") / 1_000_000).alias("at"))
-    each = fixes.join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").groupBy(F.col("o_orderkey").alias("tie"), "at").agg(F.countDistinct("l_partkey").alias("width"))
-    each = T.pain_per_quarter(each, "width", NOW)
+    orders = t(spark, d, "orders").select("o_orderkey", F.floor(us("o_orderdate") / 1_000_000).alias("at"), "o_orderpriority")
+    touches = orders.join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    each = T.pain_per_quarter(touches, "l_partkey", F.col("o_orderpriority") == "1-URGENT", NOW)
     quarters = F.when(F.col("pain") > 0, F.lit(100.0) / F.col("pain"))
     return each.withColumn("quarters", quarters).withColumn("verdict", C.payback_verdict("quarters"))
 
