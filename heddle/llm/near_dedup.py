@@ -20,11 +20,10 @@ Candidates are compared exactly, on their full shingle sets, and never as all pa
     3. what is still apart then, across components.
 
 A band whose members are one component is done, as more links would change nothing; so a family of
-thousands of copies costs a few comparisons a copy. In a band with more than CROWD components, which is
-what a passage makes that very many documents quote, two documents are only candidates if they share
-a second band: that band is replaced by its combinations with its members' other bands. A linked
-pair shares several bands (5.6 on average even at the bound), so the share that this misses is of the
-order of MISS, while what merely shares a passage seldom meets twice.
+thousands of copies costs a few comparisons a copy. A band with more than CROWD components, which is
+what a passage makes that very many documents quote, is replaced by the rarest shingles of its members:
+two documents are candidates if they share one of those that their sizes leave room for (a prefix filter).
+That is exact, so one common band still suffices, while what merely shares a passage seldom shares a rare one.
 
 Bands, links and labels are joined and aggregated in the cluster. A third of all rows in one band or one
 class is combined before the shuffle or is the side that adaptive execution splits.
@@ -44,7 +43,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import maybe_broadcast, saved, without
@@ -217,14 +216,28 @@ def _apart(now: DataFrame) -> DataFrame:
     return now.join(several, "band")
 
 
-def _uncrowded(now: DataFrame, members: DataFrame) -> DataFrame:
-    """now, bands of more than CROWD labels being replaced by what their members share besides."""
+def _uncrowded(now: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    """now, bands of more than CROWD labels being replaced by the rarest shingles of their documents.
+
+    Of a linked pair's sets, each has a shared shingle among its size - needed + 1 rarest ones, so no pair is lost.
+    """
     now = saved(now)
     crowded = now.select("band", "label").distinct().groupBy("band").count().where(F.col("count") > CROWD).select("band")
-    other = members.select("id", F.col("band").alias("other"))
-    both = now.join(crowded, "band").join(other, "id").where("band <> other")
-    both = both.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "id", "label").distinct()
-    return now.join(crowded, "band", "left_anti").unionByName(_apart(both))
+    crowded = saved(crowded)
+    if crowded.isEmpty():
+        return now
+    few = maybe_broadcast(crowded, crowded.count())
+    labels = saved(now.join(few, "band", "left_semi").select("id", "label").distinct())
+    ids = labels.select("id").distinct()
+    found = docs.join(maybe_broadcast(ids, labels.count()), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
+    sets = saved(found.groupBy("id", F.xxhash64("s").alias("version")).agg(F.first("s").alias("s")))
+    each = sets.select("id", "version", F.size("s").alias("size"), F.explode("s").alias("shingle"))
+    often = saved(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    own = Window.partitionBy("id", "version")
+    ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("common", F.count("*").over(own))
+    rare = ranked.where(F.col("place") <= F.col("common") - F.ceil(F.lit(share) * F.col("size") - F.lit(1e-9)) + 1)
+    keys = rare.select(F.xxhash64("shingle").alias("band"), "id").distinct().join(labels, "id").select("band", "id", "label")
+    return now.join(few, "band", "left_anti").select("band", "id", "label").unionByName(_apart(saved(keys)).select("band", "id", "label"))
 
 
 def _with_majority(now: DataFrame, seed: int) -> DataFrame:
@@ -252,8 +265,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, checked = saved(linked(rows, pairs, sizes, share)), pairs
     for step in range(1, ROUNDS + 1):
         labels = components(links)
-        now = members.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-        now = saved(_uncrowded(_apart(now), members))
+        now = members.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+        now = _apart(now)
+        members = now = saved(_uncrowded(now, rows, share) if step == 1 else now)
         if now.isEmpty():
             break
         if step < ROUNDS:

@@ -184,3 +184,17 @@ def test_leaks_odd_rows(spark, odd_documents):
     kept = decontaminate.without_leaks(odd_documents, items)
     assert kept.columns == odd_documents.columns and kept.count() == 9
     assert decontaminate.contaminated(odd_documents.where("false"), items).count() == 0 and decontaminate.contaminated(odd_documents, items.where("false")).count() == 0
+
+
+def test_one_crowded_band_suffices(spark, monkeypatch):
+    rng = random.Random(8)
+    texts, linked = [], []
+    for i in range(60):  # pairs that share 0.8 to 0.82 of the larger set
+        words = prose(rng, 104, 10**6)
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:84], *prose(rng, 20, 10**6)]))]
+        linked.append((2 * i, 2 * i + 1))
+    want = brute_classes(texts)
+    assert all(want[a] == want[b] for a, b in linked)
+    monkeypatch.setattr(near_dedup, "bands", lambda shingles, share: [7])  # one band, which all documents are in
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(frame(spark, texts)).collect()}
+    assert got == want
