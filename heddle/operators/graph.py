@@ -15,11 +15,20 @@ from heddle.operators.ranks import with_percentile
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once, in the folder that the cluster names in spark.checkpoint.dir; a temporary one if it names none."""
+    """df, computed once, in the folder that the cluster names in spark.checkpoint.dir; a temporary one on a single machine that names none.
+
+    A checkpoint keeps the size that the optimizer once guessed, and joins multiply guesses, so in a loop they grow to numbers that
+    take minutes to multiply; the result is a table of unknown size instead.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heddle-"))
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="heddle-"))
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def edges_of(rows: DataFrame, src: str, dst: str) -> DataFrame:
