@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.operators import graph
+
 #: Rows up to which a side may be broadcast; it is counted first, and beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the cluster names it.
 
-    Only where none is named (a single machine, as in tests) a temporary one is set.
+    Only on a single machine, as in tests, a temporary one is set where none is named; a cluster has to name one.
     """
     root, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and held.isDefined():
+        root = held.get()
     if not root:
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="heddle-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="heddle-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -40,7 +47,7 @@ def saved(df: DataFrame) -> DataFrame:
     The files go when the result is no longer referenced (cleanCheckpoints).
     """
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return graph.saved(df)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,8 +76,43 @@ def per_class_sample(df: DataFrame, key: str, label: str, per_class: int) -> Dat
 
 def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """docs without the rows whose identifier is in gone's only column; null identifiers stay."""
-    ids = saved(gone.toDF("__gone").where("__gone is not null").distinct())
-    return docs.join(maybe_broadcast(ids, ids.count()), docs[id_col] == ids["__gone"], "left_anti")
+    name = fresh(docs, "__gone")
+    ids = saved(gone.toDF(name).where(F.col(name).isNotNull()).distinct())
+    return docs.join(maybe_broadcast(ids, ids.count()), docs[id_col] == ids[name], "left_anti")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a struct column that tells its rows apart, the same however often it is computed.
+
+    Rows of a file are told by the file and their place in it, so nothing has to be written. Of any other table a
+    copy is saved, as its rows could come in another order when a lost executor's part is computed again.
+    """
+    if "_metadata" not in {c.lower() for c in docs.columns}:
+        node = docs._jdf.queryExecution().analyzed()
+        while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+            node = node.children().head()
+        if node.nodeName().startswith("LogicalRelation"):
+            try:
+                file = F.col("_metadata.file_path")
+                return docs.select("*", F.struct(F.xxhash64(file).alias("f"), F.xxhash64(file, F.lit(1)).alias("g"), F.col("_metadata.row_index").alias("i")).alias(name))
+            except AnalysisException:
+                pass  # a format whose rows have no place
+    zero = F.lit(0).cast("long")
+    return saved(docs.select("*", F.struct(zero.alias("f"), zero.alias("g"), F.monotonically_increasing_id().alias("i")).alias(name)))
+
+
+def without_rows(docs: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """numbered() docs without the rows in gone's only column, and without that number."""
+    rows = saved(gone.toDF("__gone"))
+    return docs.join(maybe_broadcast(rows, 3 * rows.count()), docs[name] == rows["__gone"], "left_anti").drop(name)
 
 
 def remove(spark: SparkSession, path: str) -> None:

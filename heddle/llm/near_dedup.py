@@ -5,35 +5,36 @@ if they share SHARE of the larger set; classes are the connected components of t
 direction alone would chain a short text to every long one that quotes it, and those to each
 other.)
 
-Documents with equal shingle sets are one class from the start and go on as one row. The others are
+Documents with equal shingle sets are one class from the start and go on as one node. The nodes are
 partitioned by set size, bounds a factor SIZE_STEP apart. In a partition the containment
 bound is turned into the smallest Jaccard similarity that a linked pair can have there, and the banding (rows,
 bands) is tuned to that similarity by itself: the most rows for which a pair at the bound is
-missed with probability MISS at most. A document is indexed in its own partition and looks into
-the next one if a linked larger document could lie there. Whoever shares a band is a candidate.
+missed with probability MISS at most. A node is indexed in its own partition and looks into
+the next one if a linked larger one could lie there. Whoever shares a band is a candidate.
 
-Candidates are compared exactly, on their full shingle sets, and never as all pairs of a band:
+All pairs of a band are never made. Candidates are compared exactly, on their full shingle sets, in three steps:
 
-    1. every document with one other, the smallest that it shares a band with;
-    2. in bands with several components, every document outside the band's largest component with one member of
-       that, picked by a hash;
-    3. what is still apart then, across components.
+    1. every node with one other, the weightiest that it shares a band with. A node's weight is the number of nodes in
+       its bands, so the weightiest of a family of copies is in its middle, near to most of the others;
+    2. in bands with several components, every node outside the band's largest component with the weightiest member of
+       that, of all its bands;
+    3. what shares a band with another component still, by a prefix filter on rare shingles.
 
 A band whose members are one component is done, as more links would change nothing; so a family of
-thousands of copies costs a few comparisons a copy. A band with more than CROWD components, which is
-what a passage makes that very many documents quote, is replaced by the rarest shingles of its members:
-two documents are candidates if they share one of those that their sizes leave room for (a prefix filter).
-That is exact, so one common band still suffices, while what merely shares a passage seldom shares a rare one.
+thousands of copies costs a few comparisons a copy. Step 3 takes the nodes of all other bands, of any size, and only
+their shingles that a node of another component has too. A node with fewer of those than SHARE of its
+set can have no link left and goes (PASSES times, as each pass makes other shingles rarer). Of the rest, each
+keeps the rarest size - needed + 1; two linked sets share one of these. That is exact: one common band suffices
+to be compared, and what merely quotes a common passage is dropped before any pair is made.
 
 Bands, links and labels are joined and aggregated in the cluster. A third of all rows in one band or one
 class is combined before the shuffle or is the side that adaptive execution splits.
 
 Cases: a null text counts as empty; all texts without a word are one class. A text of one to four
-words has one shingle, all of its words. Rows with equal texts are one class; the smallest
-identifier is kept, so rows that repeat it are kept together; rows that repeat an identifier with
-another text are versions of one document, linked where any version is. Rows without an identifier get the class of
-their text, and a class of such rows alone is null. An empty table gives no rows; other columns are
-ignored.
+words has one shingle, all of its words. Rows are told apart by their place: of every class exactly one row is
+kept, the one with the smallest identifier (null comes last), whatever identifiers repeat. A class's number is the
+smallest identifier in it, null if it has none; texts that share an identifier without being similar are classes
+with the same number, each with a kept row. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +47,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import maybe_broadcast, saved, without
+from heddle.llm.common import fresh, maybe_broadcast, numbered, saved, without_rows
+from heddle.operators.graph import weak_components
 
 WORDS, SHARE = 5, 0.8
-HASHES, MISS, SIZE_STEP, CROWD, ROUNDS, SEED = 384, 3e-3, 2.0, 16, 2, 5
+HASHES, MISS, SIZE_STEP, PASSES, SEED = 448, 1.2e-3, 2.0, 2, 5
+_ROW = "struct<f:bigint,g:bigint,i:bigint>"
 _WORD = re.compile(r"\w+")
 _CACHED = 300_000
 
@@ -145,7 +148,7 @@ def bands(shingles: np.ndarray, share: float = SHARE) -> list[int]:
 def _sketch(share: float):
     import xxhash
 
-    schema = "id long, k1 long, k2 long, size int, bands array<long>"
+    schema = f"row {_ROW}, id long, k1 long, k2 long, size int, bands array<long>"
 
     def sketch(batches):
         import pyarrow as pa
@@ -157,7 +160,8 @@ def _sketch(share: float):
                 sets = [shingle_set(t, hashes) for t in part["text"].to_pylist()]
                 key = np.array([(xxhash.xxh64_intdigest(s), xxhash.xxh64_intdigest(s, 1)) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s, share) for s in sets], pa.list_(pa.int64()))], ["id", "k1", "k2", "size", "bands"]
+                    [part["row"], part["id"], pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s, share) for s in sets], pa.list_(pa.int64()))],
+                    ["row", "id", "k1", "k2", "size", "bands"],
                 )
 
     return sketch, schema
@@ -171,117 +175,123 @@ def _sets(batches):
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
             sets = [shingle_set(t, hashes).view(np.int64) for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) for the ends of links (a, b); the label is the component's smallest identifier.
-
-    Labels spread along links and then jump to their own label's label, until nothing changes.
-    """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        spread = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        after = saved(spread.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
-        changed = after.where("old <> label").limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
-            return labels
+def sets_of(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): the shingle sets of the wanted (node), each read from its own row."""
+    own = saved(nodes.select("node", "first").join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")))
+    return saved(rows.join(maybe_broadcast(own, 4 * own.count()), "row").select("node", "text").mapInArrow(_sets, "node long, s array<long>"))
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose sets share at least that part of the larger one; docs: (id, text), one row an identifier."""
-    near = F.least("na", "nb") >= F.lit(share - 1e-9) * F.greatest("na", "nb")
-    for end in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("id").alias(end), F.col("size").alias(f"n{end}")), end)
-    pairs = saved(pairs.where(near))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    found = docs.join(maybe_broadcast(ids, 2 * pairs.count()), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
-    found = saved(found)
-    for end in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")), end)
-    return pairs.where(F.size(F.array_intersect("sa", "sb")) >= F.lit(share - 1e-9) * F.greatest(F.size("sa"), F.size("sb"))).select("a", "b").distinct()
+def _needed(size: Column | str, share: float) -> Column:
+    return F.ceil(F.lit(share) * (F.col(size) if isinstance(size, str) else size) - F.lit(1e-9))
 
 
-def _apart(now: DataFrame) -> DataFrame:
-    """The rows (band, id, label) of bands with more than one label."""
-    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    return now.join(several, "band")
-
+def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets share at least that part of the larger one."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"n{end}")), end)
+    pairs = saved(pairs.where(F.least("na", "nb") >= _needed(F.greatest("na", "nb"), share)).select("a", "b"))
+    found = sets_of(rows, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
+    return saved(pairs.where(F.size(F.array_intersect("sa", "sb")) >= _needed(F.greatest(F.size("sa"), F.size("sb")), share)).select("a", "b"))
 
-def _uncrowded(now: DataFrame, docs: DataFrame, share: float) -> DataFrame:
-    """now, bands of more than CROWD labels being replaced by the rarest shingles of their documents.
 
-    Of a linked pair's sets, each has a shared shingle among its size - needed + 1 rarest ones, so no pair is lost.
-    """
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (band, node, weight, label) of bands with more than one component."""
+    labels = weak_components(links).withColumnRenamed("component", "label")
+    now = members.select("band", "node", "weight").join(labels, "node", "left").select("band", "node", "weight", F.coalesce("label", "node").alias("label"))
     now = saved(now)
-    crowded = now.select("band", "label").distinct().groupBy("band").count().where(F.col("count") > CROWD).select("band")
-    crowded = saved(crowded)
-    if crowded.isEmpty():
-        return now
-    few = maybe_broadcast(crowded, crowded.count())
-    labels = saved(now.join(few, "band", "left_semi").select("id", "label").distinct())
-    ids = labels.select("id").distinct()
-    found = docs.join(maybe_broadcast(ids, labels.count()), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
-    sets = saved(found.groupBy("id", F.xxhash64("s").alias("version")).agg(F.first("s").alias("s")))
-    each = sets.select("id", "version", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-    often = saved(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
-    own = Window.partitionBy("id", "version")
-    ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("common", F.count("*").over(own))
-    rare = ranked.where(F.col("place") <= F.col("common") - F.ceil(F.lit(share) * F.col("size") - F.lit(1e-9)) + 1)
-    keys = rare.select(F.xxhash64("shingle").alias("band"), "id").distinct().join(labels, "id").select("band", "id", "label")
-    return now.join(few, "band", "left_anti").select("band", "id", "label").unionByName(_apart(saved(keys)).select("band", "id", "label"))
-
-
-def _with_majority(now: DataFrame, seed: int) -> DataFrame:
-    """A pair (a, b) for every document outside a band's largest component: with one member of that, from one of its bands."""
-    parts = now.groupBy("band", "label").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(seed))).alias("one"))
-    top = parts.groupBy("band").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("top"))
-    outside = now.join(top, "band").where("label <> top.label")
-    return outside.groupBy("id").agg(F.min_by("top.one", F.xxhash64("band", F.lit(seed))).alias("one")).select(*_ordered("id", "one")).distinct()
+    several = saved(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"))
+    return saved(now.join(maybe_broadcast(several, several.count()), "band"))
+
+
+def _with_majority(now: DataFrame, checked: DataFrame) -> DataFrame:
+    """A pair (a, b) not yet checked for every node outside a band's largest component: with that one's weightiest member, of all its bands."""
+    parts = now.groupBy("band", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("one"))
+    top = saved(parts.groupBy("band").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("top")))
+    outside = now.join(maybe_broadcast(top, 4 * top.count()), "band").where("label <> top.label").select("node", "top.one")
+    ones = outside.groupBy("node", F.col("one.node").alias("other")).agg(F.max("one.weight").alias("weight"))
+    fresh_ones = ones.select("node", "other", "weight", *_ordered("node", "other")).join(checked, ["a", "b"], "left_anti")
+    return saved(fresh_ones.groupBy("node").agg(F.max_by("other", F.struct("weight", "other")).alias("other")).select(*_ordered("node", "other")).distinct())
+
+
+def _foreign(shingles: DataFrame) -> DataFrame:
+    """(shingle, n) of those that nodes of several components have; n counts the nodes."""
+    each = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return saved(each.where("low <> high").select("shingle", "n"))
+
+
+def prefix_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, share: float) -> DataFrame:
+    """Candidates (a, b) of different components among labels (node, label): every linked pair is one of them."""
+    sets = sets_of(rows, nodes, labels.select("node")).join(labels, "node")
+    left = sets.select("node", "label", F.size("s").alias("size"), F.explode("s").alias("shingle"))
+    for _ in range(PASSES):
+        left = saved(left.join(_foreign(left), "shingle").select("node", "label", "size", "shingle"))
+        able = saved(left.groupBy("node", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _needed("size", share)).select("node"))
+        left = left.join(maybe_broadcast(able, able.count()), "node", "left_semi")
+    own = Window.partitionBy("node")
+    placed = left.join(_foreign(left), "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("common", F.count("*").over(own))
+    rare = saved(placed.where(F.col("place") <= F.col("common") - _needed("size", share) + 1).select("node", "label", "shingle"))
+    rare = saved(rare.join(_foreign(rare), "shingle").select("node", "label", "shingle"))
+    other = rare.select("shingle", F.col("node").alias("b"), F.col("label").alias("other"))
+    return rare.select("shingle", F.col("node").alias("a"), "label").join(other, "shingle").where("a < b and label <> other").select("a", "b").distinct()
+
+
+def _classes(rows: DataFrame, share: float) -> DataFrame:
+    """(row, doc_id, class_id, linked_to, kept) of rows (row, id, text)."""
+    sketch, schema = _sketch(share)
+    each = saved(rows.mapInArrow(sketch, schema))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    nodes = saved(each.groupBy("k1", "k2").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    banded = nodes.select(F.explode("bands").alias("band"), "node")
+    shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    members = saved(banded.join(maybe_broadcast(shared, shared.count()), "band"))
+    weights = saved(members.groupBy("node").agg(F.sum("n").alias("weight")))
+    members = saved(members.select("band", "node").join(weights, "node"))
+
+    pivots = saved(members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("pivot")))
+    towards = members.join(maybe_broadcast(pivots, 2 * pivots.count()), "band").where("node <> pivot.node").groupBy("node").agg(F.max("pivot").alias("pivot"))
+    checked = saved(towards.select("node", F.col("pivot.node").alias("other")).select(*_ordered("node", "other")).distinct())
+    links = linked(rows, nodes, checked, share)
+    members = _labelled(members, links)
+    if not members.isEmpty():
+        pairs = _with_majority(members, checked)
+        links, checked = saved(links.unionByName(linked(rows, nodes, pairs, share))), checked.unionByName(pairs)
+        members = _labelled(members, links)
+    if not members.isEmpty():
+        pairs = saved(prefix_pairs(rows, nodes, saved(members.select("node", "label").distinct()), share).join(checked, ["a", "b"], "left_anti"))
+        links = saved(links.unionByName(linked(rows, nodes, pairs, share)))
+
+    named = nodes.select("k1", "k2", "node", "first").join(weak_components(links).withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = saved(named)
+    stays = saved(named.groupBy("label").agg(F.min("first").alias("stays")))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    partner = saved(ends.groupBy("node").agg(F.min("other").alias("other")).join(nodes.select(F.col("node").alias("other"), F.col("first.id").alias("partner")), "other").select("node", "partner"))
+    named = saved(named.join(stays, "label").join(partner, "node", "left").select("k1", "k2", "first", "stays", "partner"))
+    return each.select("row", "id", "k1", "k2").join(named, ["k1", "k2"]).select(
+        "row", F.col("id").alias("doc_id"), F.col("stays.id").alias("class_id"), F.when(F.col("row") == F.col("first.row"), F.col("partner")).otherwise(F.col("first.id")).alias("linked_to"), (F.col("row") == F.col("stays.row")).alias("kept")
+    )
+
+
+def _rows(docs: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(name).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest identifier of its class), kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch, schema = _sketch(share)
-    each = saved(rows.mapInArrow(sketch, schema))
-    groups = saved(each.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("size").alias("size")))
-    sizes = groups.where("rep is not null").select(F.col("rep").alias("id"), "size")
-    wide = each.where("id is not null and size > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    banded = wide.select(F.explode("bands").alias("band"), "id")
-    shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("band", "pivot")
-    members = saved(banded.join(shared, "band"))
-
-    nearest = members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
-    pairs = saved(nearest.select(*_ordered("id", "pivot")).distinct())
-    links, checked = saved(linked(rows, pairs, sizes, share)), pairs
-    for step in range(1, ROUNDS + 1):
-        labels = components(links)
-        now = members.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-        now = _apart(now)
-        members = now = saved(_uncrowded(now, rows, share) if step == 1 else now)
-        if now.isEmpty():
-            break
-        if step < ROUNDS:
-            pairs = _with_majority(now, step)
-        else:
-            pairs = now.join(now.select("band", F.col("id").alias("other"), F.col("label").alias("other_label")), "band").where("id < other and label <> other_label").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-        pairs = saved(pairs.join(checked, ["a", "b"], "left_anti"))
-        links, checked = saved(links.unionByName(linked(rows, pairs, sizes, share))), saved(checked.unionByName(pairs))
-    else:
-        labels = components(links)
-    classes = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
-    return each.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    """One row per document: doc_id, class_id (the smallest identifier of its class), linked_to (a document that it was found to be linked to, null if there is none), kept."""
+    name = fresh(docs, "__n")
+    return _classes(_rows(numbered(docs, name), name, id_col, text_col), share).drop("row")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """docs with one document of each class; columns as they are."""
-    return without(docs, id_col, near_classes(docs, id_col, text_col, share).where("not kept").select("doc_id"))
+    """docs with one row of each class; columns as they are."""
+    name = fresh(docs, "__n")
+    rows = numbered(docs, name)
+    return without_rows(rows, name, _classes(_rows(rows, name, id_col, text_col), share).where("not kept").select("row"))

@@ -26,7 +26,8 @@ def check_exact(docs, bits=64):
     want = sorted(((i, max((x for x in groups[t] if x is not None), default=None), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=repr)
     got = exact_dedup.exact_dedup(docs, hash_bits=bits).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == want
-    assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+    assert sorted(r["text_sha256"] for r in got if r["kept"]) == sorted({r["text_sha256"] for r in got})
 
 
 def test_exact_against_brute_force(spark, odd_documents):
@@ -55,7 +56,29 @@ def test_chunks_are_lossless_and_local(spark):
 def test_exact_keeps_one_and_all_columns(spark, odd_documents):
     kept = exact_dedup.keep_first(odd_documents)
     assert kept.columns == odd_documents.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([2, 4, 5, 6, 6, 7, 8, 9, None], key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([2, 4, 5, 6, 7, 8, 9, None], key=repr)
+
+
+ROWS = [(1, "A"), (1, "B"), (2, "B"), (6, "dup"), (6, "dup"), (None, "C"), (3, "C"), (None, "D"), (None, "D"), (4, None), (4, "")]
+
+
+def test_exact_drops_rows_not_identifiers(spark, tmp_path):
+    want = sorted([(1, "A"), (2, "B"), (6, "dup"), (3, "C"), (None, "D")], key=repr)
+    docs = frame(spark, ROWS).withColumn("__n", exact_dedup.F.lit(1)).withColumn("__gone", exact_dedup.F.lit(2))
+    docs.write.parquet(f"{tmp_path}/docs")
+    for d in (docs, spark.read.parquet(f"{tmp_path}/docs"), docs.unionByName(docs)):
+        kept = exact_dedup.keep_first(d)
+        assert kept.columns == docs.columns
+        rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert sorted([r for r in rows if r[1]], key=repr) == want and [r[0] for r in rows if not r[1]] == [4]
+
+
+def test_near_drops_rows_not_identifiers(spark):
+    a, b, c = (" ".join(prose(random.Random(i), 40)) for i in range(3))
+    near = b.rsplit(" ", 1)[0] + " changed"
+    docs = frame(spark, [(1, a), (1, b), (2, near), (6, c), (6, c), (None, "one two"), (None, "one two"), (None, "three")])
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (6, c), (None, "one two"), (None, "three")], key=repr)
 
 
 def test_exact_empty(spark):
@@ -65,7 +88,7 @@ def test_exact_empty(spark):
 # -- near ---------------------------------------------------------------------------------------
 
 
-def sets_of(texts):
+def brute_sets(texts):
     out = {}
     for i, t in texts:
         w = re.findall(r"\w+", (t or "").lower())
@@ -74,7 +97,7 @@ def sets_of(texts):
 
 
 def brute_classes(texts, share=0.8):
-    s = sets_of(texts)
+    s = brute_sets(texts)
     label = {i: i for i in s}
 
     def find(x):
@@ -125,7 +148,30 @@ def test_near_odd_rows(spark, odd_documents):
     assert by[1] == by[2] == 1 and by[3] == by[4] == 3 and by[6] == 6 and by[None] is None and by[5] == 5 and by[7] == 7
     kept = near_dedup.keep_one(odd_documents)
     assert kept.columns == odd_documents.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 5, 6, 6, 7, 8] + [9] * (by[9] == 9)
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 5, 6, 7, 8] + [9] * (by[9] == 9)
+
+
+def test_near_crowds_and_families(spark):
+    """Bands that hundreds share: a passage that all quote, a family of copies whose edges are borderline, copies in great number."""
+    rng = random.Random(21)
+    passage, base = prose(rng, 60, 10**6), prose(rng, 100, 10**6)
+    texts = [[*prose(rng, rng.randrange(8, 60), 10**6), *passage] for _ in range(350)]
+    texts += [edited(rng, base, rng.randrange(1, 6)) for _ in range(350)]
+    texts += [texts[i] for i in range(0, 700, 7)] + [base] * 300
+    rng.shuffle(texts)
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_classes(texts)
+    assert 100 < len(set(want.values())) < 900
+    got = near_dedup.near_classes(frame(spark, texts)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted(set(want.values()))
+    sets = brute_sets(texts)
+    for r in got:
+        x, y = sets[r["doc_id"]], sets.get(r["linked_to"])
+        if y:
+            assert want[r["doc_id"]] == want[r["linked_to"]] and len(x & y) >= 0.8 * max(len(x), len(y))
+        else:  # the first of its copies, which have no near ones
+            assert all(sets[i] == x for i, c in want.items() if c == r["class_id"])
 
 
 def test_near_empty(spark):
