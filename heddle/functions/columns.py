@@ -59,6 +59,11 @@ def days_between(first: Column | str, last: Column | str) -> Column:
     return (col(last) - col(first)) / F.lit(86_400.0)
 
 
+def utc_date(seconds: Column | str) -> Column:
+    """The day, as text, of seconds since the epoch, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(col(seconds) / 86_400).cast("int")).cast("string")
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch; the session time zone must be UTC for local timestamps."""
     return F.unix_micros(col(ts).cast("timestamp"))
@@ -133,6 +138,16 @@ def lens_key(lens: Column | str) -> Column:
     return F.when(short != "", short).otherwise(F.lower(F.trim(col(lens))))
 
 
+def normalized_answer(answer: Column | str, known: Sequence[str]) -> Column:
+    """The known name that an answer's first line is or, the longest first, mentions; otherwise marked as not understood."""
+    line = F.trim(F.split(F.lower(F.regexp_replace(col(answer), "^[`\"'*. \\s]+|[`\"'*. \\s]+$", "")), "\n")[0])
+    line = F.regexp_replace(line, "[`\"'*. ]+$", "")
+    out = F.concat(F.lit("__unparsed__:"), F.substring(line, 1, 60))
+    for name in sorted(known, key=len):
+        out = F.when(line.rlike(rf"\b\Q{name}\E\b"), F.lit(name)).otherwise(out)
+    return F.when(line.isin(*known), line).otherwise(out)
+
+
 # -- rule tables --------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.params import DEFAULTS
 from heddle.operators.graph import weak_components
+from heddle.operators.saving import maybe_broadcast, saved
 
 
 def windows(tokens: DataFrame, owner: str, array: str, window: int = DEFAULTS.clone_window) -> DataFrame:
@@ -18,8 +19,8 @@ def windows(tokens: DataFrame, owner: str, array: str, window: int = DEFAULTS.cl
 
 def shared_windows(owned: DataFrame, most: int = DEFAULTS.clone_max_owners) -> DataFrame:
     """The windows with 2..most owners. Counting combines first, so a window that everybody has is one row a task."""
-    counts = owned.groupBy("h").agg(F.count("*").alias("owners")).where(F.col("owners").between(2, most))
-    return owned.join(counts.select("h"), "h", "left_semi")
+    counts = saved(owned.groupBy("h").agg(F.count("*").alias("owners")).where(F.col("owners").between(2, most)).select("h"))
+    return owned.join(maybe_broadcast(counts, counts.count()), "h", "left_semi")
 
 
 def skipped_windows(owned: DataFrame, most: int = DEFAULTS.clone_max_owners) -> DataFrame:
@@ -28,10 +29,13 @@ def skipped_windows(owned: DataFrame, most: int = DEFAULTS.clone_max_owners) ->
 
 
 def clone_pairs(owned: DataFrame, min_shared: int = DEFAULTS.clone_min_shared, most: int = DEFAULTS.clone_max_owners) -> DataFrame:
-    """(a, b, shared): owners a < b that share at least min_shared windows of at most `most` owners."""
-    few = shared_windows(owned, most)
-    other = few.select(F.col("owner").alias("b"), "h")
-    pairs = few.select(F.col("owner").alias("a"), "h").join(other, "h").where("a < b")
+    """(a, b, shared): owners a < b that share at least min_shared windows of at most `most` owners.
+
+    The pairs of a window come from the list of its owners, which is gathered only where the count has shown that it is short.
+    """
+    owners = shared_windows(saved(owned), most).groupBy("h").agg(F.array_sort(F.collect_list("owner")).alias("w"))
+    heads = owners.select("w", F.posexplode("w").alias("at", "a"))
+    pairs = heads.select("a", F.explode(F.slice("w", F.col("at") + 2, F.greatest(F.size("w") - F.col("at") - 1, F.lit(0)))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 

@@ -9,15 +9,14 @@ from heddle.functions.columns import floor_quantile, ratio
 from heddle.functions.params import DEFAULTS
 
 
-def bounded_groups(rows: DataFrame, group: str, item: str, most: int = DEFAULTS.mega_commit_files) -> DataFrame:
-    """Distinct (group, item) of groups with 1..most items.
+def bounded_groups(rows: DataFrame, group: str, item: str, most: int = DEFAULTS.mega_commit_files, *more: str) -> DataFrame:
+    """Distinct (group, item, *more) of groups with 1..most items.
 
-    The count is a window over the rows that the following aggregation needs together anyway, so a
-    group that is too large is dropped before anything is collected from it.
+    Items are counted first, which combines before the shuffle, so a group that is too large never meets in one task.
     """
-    distinct = rows.select(F.col(group).alias("group"), F.col(item).alias("item")).where("group is not null and item is not null").distinct()
-    counted = distinct.withColumn("n", F.count("*").over(Window.partitionBy("group")))
-    return counted.where(F.col("n") <= most).drop("n")
+    distinct = rows.select(F.col(group).alias("group"), F.col(item).alias("item"), *more).where("group is not null and item is not null").distinct()
+    small = distinct.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("group")
+    return distinct.join(small, "group", "left_semi")
 
 
 def cooccurrence(rows: DataFrame, group: str, item: str, most: int = DEFAULTS.mega_commit_files, min_shared: int = DEFAULTS.coupling_min_shared, min_degree: float = DEFAULTS.coupling_min_degree) -> DataFrame:
@@ -45,9 +44,7 @@ def examples(rows: DataFrame, key: str, example: str, newest: str, most: int) ->
 
 def group_layers(rows: DataFrame, group: str, item: str, layer: str, most: int = DEFAULTS.mega_commit_files) -> DataFrame:
     """(group, layers): the sorted distinct layers of every group with at most `most` items."""
-    own = rows.select(F.col(group).alias("group"), F.col(item).alias("item"), F.col(layer).alias("layer")).where("group is not null and item is not null").distinct()
-    own = own.withColumn("n", F.count("*").over(Window.partitionBy("group"))).where(F.col("n") <= most)
-    return own.groupBy("group").agg(F.array_sort(F.collect_set("layer")).alias("layers"))
+    return bounded_groups(rows, group, item, most, layer).groupBy("group").agg(F.array_sort(F.collect_set(layer)).alias("layers"))
 
 
 def containment(layers: DataFrame) -> DataFrame:

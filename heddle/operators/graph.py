@@ -6,29 +6,11 @@ stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.ranks import with_percentile
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once, in the folder that the cluster names in spark.checkpoint.dir; a temporary one on a single machine that names none.
-
-    A checkpoint keeps the size that the optimizer once guessed, and joins multiply guesses, so in a loop they grow to numbers that
-    take minutes to multiply; the result is a table of unknown size instead.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="heddle-"))
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+from heddle.operators.saving import release, saved
 
 
 def edges_of(rows: DataFrame, src: str, dst: str) -> DataFrame:
@@ -87,8 +69,10 @@ def weak_components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
         after = saved(step.join(up, "component").select("node", "old", F.least("component", "up").alias("component")))
-        labels = after.select("node", "component")
-        if after.where("old <> component").isEmpty():
+        labels, done = after.select("node", "component"), after.where("old <> component").isEmpty()
+        del near, step, up, after
+        if done:
+            release(links.sparkSession)
             return labels
 
 
@@ -142,6 +126,12 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def type_only_cycles(runtime: DataFrame, full: DataFrame) -> DataFrame:
-    """(cycle, members) of cycles in full whose member set is no cycle of runtime."""
-    sets = lambda c: c.groupBy("cycle").agg(F.array_sort(F.collect_list("node")).alias("members"))
-    return sets(cycles(full)).join(sets(cycles(runtime)).select("members"), "members", "left_anti").select("cycle", "members")
+    """(node, cycle) of cycles in full whose member set is no cycle of runtime.
+
+    A cycle goes by its smallest node, so equal sets have equal names: only sizes and common members are counted.
+    """
+    all_of, own = saved(cycles(full)), saved(cycles(runtime))
+    size = lambda c, name: c.groupBy("cycle").agg(F.count("*").alias(name))
+    common = all_of.join(own, ["node", "cycle"], "left_semi")
+    same = size(all_of, "n").join(size(own, "m"), "cycle").join(size(common, "k"), "cycle").where("n = m and n = k").select("cycle")
+    return all_of.join(same, "cycle", "left_anti").select("node", "cycle")

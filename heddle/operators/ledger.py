@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from heddle.functions.columns import gain_reached, hash_order, lens_key, lower_ceiling, ratio, sarif_level
 from heddle.functions.params import DEFAULTS
 
-REQUIRED = ("id", "risk", "title", "axes", "source", "priority", "ceiling")
+REQUIRED = ("id", "title", "risk", "symptom", "source", "cost_pain", "remedy", "remedy_cost", "gain", "gain_metric", "gain_target", "refutation", "confidence")
+MEASURES = ("containment_ratio", "runtime_cycles", "coupling_pairs", "edges", "files", "rework_rate", "touch_cost_p90", "fix_latency_median_days")
 MODES, VERDICTS = ("parallel", "sequential"), ("confirmed", "refuted", "weakened")
 
 
@@ -45,6 +46,14 @@ def gate(snapshots: DataFrame, members: DataFrame, base: str, now: str, containm
     return one.select(status.alias("status"), "containment_delta", "rework_delta", "new_cycle", "new_painful", "new_unstable")
 
 
+def gate_deltas(snapshots: DataFrame, base: str, now: str, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """(measure, base, now, delta) of every measure of two runs, four decimal places; null where a run lacks it. snapshots: (run, *measures)."""
+    side = lambda run, c: F.max(F.when(F.col("run") == run, F.col(c).cast("double")))
+    one = snapshots.where(F.col("run").isin(base, now)).agg(*[side(r, m).alias(f"{m}_{k}") for m in measures for k, r in (("base", base), ("now", now))])
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_base").alias("base"), F.col(f"{m}_now").alias("now")) for m in measures])
+    return one.select(F.explode(rows).alias("r")).select("r.*", F.bround(F.col("r.now") - F.col("r.base"), 4).alias("delta"))
+
+
 # -- findings -----------------------------------------------------------------------------------
 
 
@@ -69,17 +78,32 @@ def selfcheck(findings: DataFrame, refutations: DataFrame, metrics: DataFrame, s
     each = findings.select("id", F.explode(F.transform(F.split("source", ";"), lambda x: F.trim(x))).alias("source")).where("source <> ''")
     unresolved = each.join(sources, "source", "left_anti").select("id", F.concat(F.lit("unresolved "), "source").alias("problem"))
     gains = findings.where("coalesce(gain_metric, 'manual') <> 'manual'").join(metrics.select(F.col("metric").alias("gain_metric")), "gain_metric", "left_anti").select("id", F.concat(F.lit("unknown metric "), "gain_metric").alias("problem"))
-    seen = refutations.groupBy("finding_id").agg(F.countDistinct(lens_key("lens")).alias("lenses"), F.count(F.when(F.col("mode") == "parallel", 1)).alias("parallel"), F.count("*").alias("n"))
-    judged = findings.join(seen.withColumnRenamed("finding_id", "id"), "id", "left").na.fill(0, ["lenses", "parallel", "n"])
-    verdict = F.col("ceiling") == "verdict"
-    need = judged.where(((F.col("priority").cast("int") >= 6) | verdict) & (F.col("n") == 0)).select("id", F.lit("not refuted").alias("problem"))
-    weak = judged.where(verdict & (F.col("n") > 0) & ((F.col("lenses") < 2) | (F.col("parallel") == 0))).select("id", F.lit("verdict without two lenses in parallel").alias("problem"))
+    mode = F.coalesce("mode", F.lit(""))
+    seen = refutations.groupBy("finding_id").agg(F.countDistinct(lens_key("lens")).alias("lenses"), F.count(F.when(mode == "parallel", 1)).alias("parallel"), F.count(F.when(mode == "", 1)).alias("undeclared"), F.count("*").alias("n"))
+    judged = findings.join(seen.withColumnRenamed("finding_id", "id"), "id", "left").na.fill(0, ["lenses", "parallel", "undeclared", "n"])
+    verdict = F.coalesce(F.col("confidence") == "verdict", F.lit(False))
+    asked = judged.where((F.coalesce(F.expr("try_cast(priority as int)"), F.lit(0)) >= 6) | verdict)
+    need = asked.where("n = 0").select("id", F.lit("not refuted").alias("problem"))
+    rules = ((F.col("undeclared") > 0, "undeclared mode"), (verdict & (F.col("parallel") == 0), "verdict without a parallel lens"), (verdict & (F.col("lenses") < 2), "verdict of one lens"))
+    weak = asked.where("n > 0").select("id", F.explode(F.filter(F.array(*[F.when(r, F.lit(text)) for r, text in rules]), lambda x: x.isNotNull())).alias("problem"))
     out = blank[0]
     for more in [*blank[1:], unresolved, gains, need, weak]:
         out = out.unionByName(more)
     return out
 
 
+def run_mode(findings: DataFrame, refutations: DataFrame) -> DataFrame:
+    """One row for a whole run: mode (none, parallel, sequential, undeclared or mixed), refutations without a mode, and findings asked for refutation that no parallel lens saw."""
+    mode = F.coalesce("mode", F.lit(""))
+    kinds = refutations.agg(F.collect_set(F.when(mode.isin(*MODES), mode)).alias("modes"), F.count(F.when(mode == "", 1)).alias("undeclared"), F.count("*").alias("n"))  # at most MODES
+    level = F.when(F.col("n") == 0, "none").when(F.size("modes") > 1, "mixed").when(F.size("modes") == 0, "undeclared").otherwise(F.col("modes")[0])
+    seen = refutations.where(mode == "parallel").select(F.col("finding_id").alias("id")).distinct()
+    any_lens = refutations.select(F.col("finding_id").alias("id")).distinct()
+    asked = findings.where((F.coalesce(F.expr("try_cast(priority as int)"), F.lit(0)) >= 6) | F.coalesce(F.col("confidence") == "verdict", F.lit(False))).select("id")
+    alone = asked.join(any_lens, "id", "left_semi").join(seen, "id", "left_anti").agg(F.count("*").alias("sequential_findings"))
+    return kinds.select(level.alias("mode"), "undeclared", F.lit(1).alias("one")).join(alone.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def rejected_rows(rows: DataFrame, known: DataFrame, enums: dict[str, tuple[str, ...]]) -> DataFrame:
     """(id, problem) of rows to append that repeat an id or have a value outside its enumeration."""
     repeated = rows.join(known.select("id"), "id", "left_semi").unionByName(rows.join(rows.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi")).select("id", F.lit("repeated id").alias("problem")).distinct()
@@ -100,7 +124,7 @@ def sarif(findings: DataFrame) -> DataFrame:
     """One row, column `sarif`: a SARIF 2.1.0 document of findings (id, risk, title, priority, files). A sink: its rules and results are lists."""
     rules = findings.groupBy("risk").agg(F.min_by("title", "id").alias("title")).select(F.struct(F.col("risk").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription")).alias("r"))
     place = lambda f: F.struct(F.struct(F.struct(f.alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
-    result = F.struct(F.col("risk").alias("ruleId"), sarif_level(F.col("priority").cast("int")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.transform("files", place).alias("locations"))
+    result = F.struct(F.col("risk").alias("ruleId"), sarif_level(F.coalesce(F.expr("try_cast(priority as int)"), F.lit(0))).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.transform("files", place).alias("locations"))
     lists = rules.agg(F.array_sort(F.collect_list("r")).alias("rules")).withColumn("one", F.lit(1)).join(findings.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", result.alias("r")))), lambda x: x["r"]).alias("results")).withColumn("one", F.lit(1)), "one")
     run = F.struct(F.struct(F.struct(F.lit("heddle").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
     return lists.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
@@ -118,6 +142,12 @@ def trial_verdicts(checks: DataFrame, trials: DataFrame) -> DataFrame:
     return each.select("variant", verdict.alias("verdict"))
 
 
+def critic_outcomes(verdicts: DataFrame, least: int = 2) -> DataFrame:
+    """(item, outcome) from (item, critic, verdict): fail with too few critics, stop if any drops it, else go."""
+    by = verdicts.groupBy("item").agg(F.countDistinct("critic").alias("critics"), F.count(F.when(F.col("verdict") == "dropped", 1)).alias("dropped"))
+    return by.select("item", F.when(F.col("critics") < least, "fail").when(F.col("dropped") > 0, "stop").otherwise("go").alias("outcome"))
+
+
 def plan_items(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """Full join of findings and decisions (both by id): included or not, and the fact over the forecast."""
     own = findings.select("id", F.lit(True).alias("found"), "priority")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.params import DEFAULTS
+from heddle.operators.ranks import with_place
+from heddle.operators.saving import maybe_broadcast, saved
 
 VULTURE = r"^(.+?):(\d+): (unused|unreachable) ([\w ]+?)(?: '([^']+)')?(?: after '[^']+')? \((\d+)% confidence(?:, (\d+) lines?)?\)$"
 
@@ -29,15 +31,15 @@ def orphans(nodes: DataFrame, edges: DataFrame, *excluded: DataFrame) -> DataFra
     return left
 
 
-def words_of(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (key, name): the corpus split once, so that mentions are an equi-join and not a scan per name."""
-    return texts.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\w+"), F.lit(0))).alias("name")).distinct()
+def mentions(names: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(name, texts): in how many texts a candidate's name occurs as a word, 0 included.
 
-
-def mentions(names: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, texts): in how many texts a candidate's name occurs as a word, 0 included. Counting combines before the join."""
-    counts = words.groupBy("name").agg(F.count("*").alias("texts"))
-    return names.select("name").distinct().join(counts, "name", "left").select("name", F.coalesce("texts", F.lit(0)).alias("texts"))
+    The corpus is split once, and only words that are names go on to be counted.
+    """
+    wanted = saved(names.select("name").distinct())
+    words = texts.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\w+"), F.lit(0)))).alias("name"))
+    counts = words.join(maybe_broadcast(wanted, wanted.count()), "name", "left_semi").distinct().groupBy("name").agg(F.count("key").alias("texts"))
+    return wanted.join(counts, "name", "left").select("name", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
 def statuses(candidates: DataFrame, blind: DataFrame) -> DataFrame:
@@ -45,7 +47,8 @@ def statuses(candidates: DataFrame, blind: DataFrame) -> DataFrame:
     reasons = blind.groupBy("name").agg(F.array_sort(F.collect_set("reason")).alias("blind_spots"))
     each = candidates.join(reasons, "name", "left").withColumn("blind_spots", F.coalesce("blind_spots", F.expr("cast(array() as array<string>)")))
     status = F.when(F.size("blind_spots") == 0, "provable").when(F.col("instrumentable"), "suspected").otherwise("manual")
-    return each.withColumn("id", F.concat(F.lit("P"), F.row_number().over(Window.orderBy("file", "line", "name")))).withColumn("status", status)
+    placed = with_place(each.withColumn("status", status), "__place", "file", "line", "name", "kind" if "kind" in each.columns else "status")
+    return placed.withColumn("id", F.concat(F.lit("P"), "__place")).drop("__place")
 
 
 def marker_counts(logs: DataFrame, column: str, pattern: str) -> DataFrame:

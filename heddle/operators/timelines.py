@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from heddle.functions.columns import quarter_bucket, ratio, wilson_lower
 from heddle.functions.params import DAY, DEFAULTS
-from heddle.operators.ranks import with_percentile
+from heddle.operators.ranks import beside, exact_median, with_percentile
+from heddle.operators.saving import saved
 
 MICROS = 1_000_000
 
 
 def episodes(rows: DataFrame, key: str | None, at: str, tie: str, gap: int) -> DataFrame:
     """(key, episode, first, last, events): runs of events not more than `gap` apart, of each key or (None) of all rows."""
-    order = Window.partitionBy(*([key] if key else [])).orderBy(at, tie)
-    cut = F.when(F.col(at) - F.lag(at).over(order) <= gap, 0).otherwise(1)
-    numbered = rows.where(F.col(at).isNotNull()).withColumn("cut", cut).withColumn("episode", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*([key] if key else []), "episode").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("events"))
+    rows, keys = rows.where(F.col(at).isNotNull()), [key] if key else []
+    if key:
+        order = Window.partitionBy(key).orderBy(at, tie)
+        cut = F.when(F.col(at) - F.lag(at).over(order) <= gap, 0).otherwise(1)
+        rows = rows.withColumn("cut", cut).withColumn("episode", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        rows = _across(rows, at, gap)
+    return rows.groupBy(*keys, "episode").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("events"))
 
 
 def episode_totals(each: DataFrame) -> DataFrame:
-    """One row: episodes, events, mean and median events, share and median span (days of micros) of those with several events."""
+    """One row: episodes, events, mean and median events, share and median span of those with several events."""
     multi = F.col("events") > 1
-    return each.agg(
-        F.count("*").alias("episodes"), F.sum("events").alias("events"), F.avg("events").alias("mean_events"), F.median("events").alias("median_events"),
-        ratio(F.count(F.when(multi, 1)), F.count("*")).alias("multi_share"), F.median(F.when(multi, F.col("last") - F.col("first"))).alias("median_multi_span"),
-    )
+    each = saved(each.select("events", F.when(multi, F.col("last") - F.col("first")).alias("span")))
+    counts = each.agg(F.count("*").alias("episodes"), F.sum("events").alias("events"), F.avg("events").alias("mean_events"), ratio(F.count(F.when(multi, 1)), F.count("*")).alias("multi_share"))
+    return beside(counts, exact_median(each, "events", "median_events"), exact_median(each, "span", "median_multi_span"))
 
 
 def slowest(each: DataFrame, key: str, least: int = DEFAULTS.velocity_min_episodes) -> DataFrame:
@@ -50,14 +54,19 @@ def rework(rows: DataFrame, key: str, at: str, fix: Column, window: int) -> Data
 
 
 def _rework(grouped, at: str) -> DataFrame:
-    out = grouped.agg(F.count("*").alias("changes"), F.count("next_at").alias("reworked"), F.median(F.col("next_at") - F.col(at)).alias("median_delay"))
-    return out.withColumn("rate", ratio("reworked", "changes")).withColumn("rate_low", wilson_lower("reworked", "changes"))
+    return _rates(grouped.agg(F.count("*").alias("changes"), F.count("next_at").alias("reworked"), F.median(F.col("next_at") - F.col(at)).alias("median_delay")))
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("rate", ratio("reworked", "changes")).withColumn("rate_low", wilson_lower("reworked", "changes"))
 
 
 def rework_with_total(rows: DataFrame, key: str, at: str, fix: Column, window: int) -> DataFrame:
-    """rework() of every key and, with a null key, of all rows."""
-    seen = next_within(rows.where(F.col(at).isNotNull() & F.col(key).isNotNull()), key, at, fix, window).where(~fix)
-    return _rework(seen.groupingSets([[F.col(key)], []], F.col(key)), at)
+    """rework() of every key and, with a null key, of all rows, whose median is that of counted values."""
+    seen = saved(next_within(rows.where(F.col(at).isNotNull() & F.col(key).isNotNull()), key, at, fix, window).where(~fix).select(key, at, "next_at"))
+    whole = beside(seen.agg(F.count("*").alias("changes"), F.count("next_at").alias("reworked")), exact_median(seen.select((F.col("next_at") - F.col(at)).alias("delay")), "delay", "median_delay"))
+    own = _rework(seen.groupBy(key), at)
+    return own.unionByName(_rates(whole.select(F.lit(None).cast(seen.schema[key].dataType).alias(key), "changes", "reworked", "median_delay")))
 
 
 def unstable(each: DataFrame, key: str, least: int = DEFAULTS.rework_min_changes) -> DataFrame:
@@ -93,7 +102,8 @@ def pain_per_quarter(touches: DataFrame, item: str, fix: Column, now: int, since
     """
     seen = touches.where((F.col("at") > now - since_days * DAY) & (F.col("at") <= now)).withColumn("fix", fix)
     each = _across(seen, "at", gap).groupBy("episode").agg(F.max("fix").alias("fixed"), F.countDistinct(item).alias("width"))
-    one = each.where("fixed").agg(F.count("*").alias("fix_episodes"), F.median("width").alias("median_width"))
+    fixed = saved(each.where("fixed"))
+    one = beside(fixed.agg(F.count("*").alias("fix_episodes")), exact_median(fixed, "width", "median_width"))
     per = F.col("fix_episodes") / F.lit(since_days / 91.25)
     return one.select("fix_episodes", per.alias("episodes_per_quarter"), "median_width", (per * F.coalesce("median_width", F.lit(0.0))).alias("pain"))
 

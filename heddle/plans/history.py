@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import columns as C
+from heddle.functions.documents import at_path
 from heddle.operators import clones as CL
 from heddle.operators import cooccur as CO
 from heddle.operators import graph as G
@@ -263,12 +264,14 @@ def edits_by_quarter(spark, d):
 
 
 _PAYBACK = f"""
-e AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS tick, count(DISTINCT l_partkey) AS width FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 = 0
-    AND epoch(o_orderdate) > {NOW} - 365 * 86400 AND epoch(o_orderdate) <= {NOW} GROUP BY 1, 2),
-c AS (SELECT *, CASE WHEN tick - lag(tick) OVER (ORDER BY tick, o_orderkey) <= 3 * 86400 THEN 0 ELSE 1 END AS cut FROM e)"""
+e AS (SELECT o_orderkey AS k, epoch(o_orderdate)::BIGINT AS tick, o_orderpriority = '1-URGENT' AS fix FROM orders
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND epoch(o_orderdate) > {NOW} - 365 * 86400 AND epoch(o_orderdate) <= {NOW}),
+c AS (SELECT *, CASE WHEN tick - lag(tick) OVER (ORDER BY tick, k) <= 3 * 86400 THEN 0 ELSE 1 END AS cut FROM e),
+n AS (SELECT *, sum(cut) OVER (ORDER BY tick, k) AS episode FROM c),
+w AS (SELECT episode, count(DISTINCT l_partkey) AS width FROM n JOIN lineitem ON l_orderkey = k GROUP BY episode HAVING bool_or(fix))"""
 
 
-@query(f"""WITH {_PAYBACK} , p AS (SELECT coalesce(sum(cut), 0)::BIGINT AS fix_episodes, coalesce(sum(cut), 0)::BIGINT / (365 / 91.25) AS episodes_per_quarter, median(width)::DOUBLE AS median_width FROM c),
+@query(f"""WITH {_PAYBACK}, p AS (SELECT count(*) AS fix_episodes, count(*) / (365 / 91.25) AS episodes_per_quarter, median(width)::DOUBLE AS median_width FROM w),
     q AS (SELECT *, episodes_per_quarter * coalesce(median_width, 0) AS pain FROM p)
     SELECT *, CASE WHEN pain > 0 THEN 100.0 / pain END AS quarters, CASE WHEN NOT pain > 0 THEN 'cold' WHEN 100.0 / pain <= 4 THEN 'ok' ELSE 'too_costly' END AS verdict FROM q""")
 def payback(spark, d):
@@ -333,13 +336,12 @@ _FULL = "full_edges AS (SELECT src, dst FROM edges UNION SELECT n_nationkey, (n_
     reach2 AS (SELECT src AS a, dst AS b FROM full_edges UNION SELECT reach2.a, f.dst FROM reach2 JOIN full_edges f ON f.src = reach2.b),
     scc2 AS (SELECT x.a AS node, min(least(x.a, y.a)) AS cycle FROM reach2 x JOIN reach2 y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a),
     m1 AS (SELECT list_sort(list(node)) AS members FROM scc GROUP BY cycle), m2 AS (SELECT cycle, list_sort(list(node)) AS members FROM scc2 GROUP BY cycle)
-    SELECT cycle, array_to_string(members, ',') AS members FROM m2 WHERE members NOT IN (SELECT members FROM m1)""")
+    SELECT node, cycle FROM scc2 WHERE cycle IN (SELECT cycle FROM m2 WHERE members NOT IN (SELECT members FROM m1))""")
 def type_only_cycles(spark, d):
     edges = _edges(spark, d)
     k = F.col("n_nationkey")
     extra = t(spark, d, "nation").where("n_nationkey < 5").select(k.alias("src"), ((k + 1) % 25).alias("dst"))
-    found = G.type_only_cycles(edges, edges.unionByName(G.symmetric(extra)))
-    return found.select("cycle", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return G.type_only_cycles(edges, edges.unionByName(G.symmetric(extra)))
 
 
 _BARRELS = "barrels AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey % 4 = 0 AND n_nationkey IN (SELECT src FROM edges))"
@@ -374,11 +376,9 @@ def hidden_links(spark, d):
     return G.without_edge(_nation_pairs(spark, d), _edges(spark, d)).select("a", "b", "degree")
 
 
-@query(f"WITH RECURSIVE {_CYCLES}, {_NATION_PAIRS} SELECT x.node AS a, y.node AS b FROM scc x JOIN scc y ON x.cycle = y.cycle AND x.node < y.node WHERE NOT EXISTS (SELECT 1 FROM coupled WHERE a = x.node AND b = y.node)")
+@query(f"WITH RECURSIVE {_CYCLES}, {_NATION_PAIRS} SELECT x.node AS a, y.node AS b FROM scc x JOIN scc y ON x.cycle = y.cycle AND x.node < y.node WHERE NOT EXISTS (SELECT 1 FROM coupled WHERE a = x.node AND b = y.node AND degree >= 0.33)")
 def dead_links(spark, d):
-    own = G.cycles(_edges(spark, d))
-    inside = own.select(F.col("node").alias("a"), "cycle").join(own.select(F.col("node").alias("b"), "cycle"), "cycle").where("a < b").select("a", "b")
-    return inside.join(_nation_pairs(spark, d).select("a", "b"), ["a", "b"], "left_anti")
+    return PT.dead_links(G.cycles(_edges(spark, d)), _nation_pairs(spark, d).where("degree >= 0.33"))
 
 
 @query(f"""WITH {_EDGES}, own AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey < 3)
@@ -531,12 +531,12 @@ def marker_ids(spark, d):
     w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\w+')) AS name FROM documents) SELECT name, count(doc_id) AS texts FROM n LEFT JOIN w USING (name) GROUP BY name""")
 def mentions(spark, d):
     names = t(spark, d, "nation").select(F.lower("n_name").alias("name")).unionByName(spark.createDataFrame([(x,) for x in ("the", "and", "of", "absent")], "name string"))
-    return P.mentions(names, P.words_of(t(spark, d, "documents"), "doc_id", "text"))
+    return P.mentions(names, t(spark, d, "documents"), "doc_id", "text")
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
 def json_path(spark, d):
-    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return t(spark, d, "events").select("event_id", at_path(F.from_json("props", "k bigint"), "k").alias("k"))
 
 
 _PATH = "regexp_extract(url, '^[^:]*://[^/?#]*/?([^?#]*)', 1)"

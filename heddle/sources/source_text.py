@@ -12,7 +12,7 @@ import io
 import keyword
 import tokenize
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUFFIXES = {".py": "python", ".js": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".go": "go", ".java": "java", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "c"}
@@ -148,30 +148,50 @@ def token_arrays(files: DataFrame) -> DataFrame:
     return files.select("file", "body").mapInPandas(rows, "file string, tokens array<string>")
 
 
+def _dotted(path: Column) -> Column:
+    return F.replace(path, F.lit("/"), F.lit("."))
+
+
+def normalized(path: Column | str) -> Column:
+    """A relative path without empty, . and .. parts, as far as they can be taken out."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array_append(done, part))
+
+    return F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/")
+
+
 def module_index(files: DataFrame) -> DataFrame:
-    """(key, file): for every suffix of a file's module path the first file that has it."""
-    path = F.regexp_replace(F.regexp_replace("file", r"\.[^./]+$", ""), r"/(__init__|index|mod)$", "")
-    parts = F.split(path, "/")
-    keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
-    return files.select("file", F.explode(keys).alias("key")).groupBy("key").agg(F.min("file").alias("file"))
+    """(key, target): a file's path without its suffix, a package's folder, and both with dots; of several files the first."""
+    stem = F.regexp_replace("file", r"(?<=[^/])\.[^./]*$", "")
+    package = F.regexp_extract(stem, r"^(.+)/(?:index|__init__)$", 1)
+    keys = F.filter(F.array(stem, _dotted(stem), package, _dotted(package)), lambda k: k != "")
+    return files.select(F.col("file").alias("target"), F.explode(keys).alias("key")).groupBy("key").agg(F.min("target").alias("target"))
 
 
-def resolve(specs: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, spec, kind, target): the first candidate of each spec that is a file here; null for external ones.
+def resolve(specs: DataFrame, files: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
+    """(file, spec, kind, target): the file here that an import names; null for external ones.
 
-    Candidates in order: relative to the file, the whole name, the name without its last part.
+    With a leading dot, a path (./a, ../b/c) is taken from the file's folder and dotted names climb one folder for every
+    dot after the first. Other names are tried as they are, without a leading @, and below each of the roots.
     """
-    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
-    dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
-    plain = F.translate(F.regexp_replace(F.regexp_replace("spec", r"^\./|^\.+", ""), "::", "/"), ".", "/")
-    up = F.array_join(F.slice(F.split(folder, "/"), F.lit(1), F.greatest(F.size(F.split(folder, "/")) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")
-    relative = F.when((dots > 0) & ~F.col("spec").startswith("./") & ~F.col("spec").startswith("../"), F.concat_ws("/", F.when(up != "", up), F.when(plain != "", plain))).when(F.col("spec").startswith("./"), F.concat_ws("/", F.when(folder != "", folder), plain))
-    parent = F.regexp_extract(plain, r"^(.*)/[^/]*$", 1)
-    candidates = F.when(F.col("spec").startswith("."), F.array(relative, F.regexp_extract(relative, r"^(.*)/[^/]*$", 1))).otherwise(F.array(plain, F.when(parent != "", parent)))
-    each = specs.withColumn("row", F.monotonically_increasing_id()).select("row", "file", "spec", "kind", F.posexplode(candidates).alias("place", "key"))
-    index = module_index(files).withColumnRenamed("file", "target")
-    hit = each.join(index, "key", "left").where("target is null or target <> file")
-    return hit.groupBy("row", "file", "spec", "kind").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("place"))).alias("target")).drop("row")
+    spec, folder = F.coalesce(F.col("spec"), F.lit("")), F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    inside = lambda base, rest: F.concat_ws("/", F.when(base != "", base), F.when(rest != "", rest))
+    dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
+    above = F.split(folder, "/")
+    climbed = F.array_join(F.slice(above, F.lit(1), F.greatest(F.size(above) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")
+    tail = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
+    relative = F.when(spec.rlike(r"^\.+/"), normalized(inside(folder, spec))).otherwise(normalized(inside(climbed, tail)))
+    name = F.when(spec.contains(".") & ~spec.contains("/"), F.replace(F.regexp_replace(spec, "^@+", ""), F.lit("."), F.lit("/"))).otherwise(spec)
+    whole = [F.regexp_replace(name, "^@+", ""), spec, *[F.concat(F.lit(f"{r}/"), F.regexp_replace(name, "^[@/]+", "")) for r in roots]]
+    candidates = F.when(spec.startswith("."), F.array(relative)).otherwise(F.array(*whole))
+    keys = F.flatten(F.transform(candidates, lambda c: F.array(F.regexp_replace(c, "^/+|/+$", ""), _dotted(F.regexp_replace(c, "^/+|/+$", "")))))
+    each = specs.select("file", "spec", "kind").distinct().select("file", "spec", "kind", F.posexplode(keys).alias("place", "key")).where("key <> ''")
+    hits = each.join(module_index(files), "key").groupBy("file", "spec", "kind").agg(F.min_by("target", "place").alias("target"))
+    same = F.col("s.file").eqNullSafe(F.col("h.file")) & F.col("s.spec").eqNullSafe(F.col("h.spec")) & F.col("s.kind").eqNullSafe(F.col("h.kind"))
+    return specs.alias("s").join(hits.alias("h"), same, "left").select("s.file", "s.spec", "s.kind", "h.target")
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:
@@ -183,3 +203,18 @@ def external_packages(resolved: DataFrame) -> DataFrame:
     """(package, n) of unresolved absolute specs."""
     spec = F.regexp_replace(F.regexp_extract("spec", r"^([^/.:]+)", 1), "^@", "")
     return resolved.where(F.col("target").isNull() & ~F.col("spec").startswith(".")).groupBy(spec.alias("package")).agg(F.count("*").alias("n"))
+
+
+def backend_counts(specs: DataFrame) -> DataFrame:
+    """(backend, files): in how many files each parser was used."""
+    return specs.groupBy("backend").agg(F.countDistinct("file").alias("files"))
+
+
+def type_edge_total(resolved: DataFrame) -> DataFrame:
+    """One row: imports of files here that only types need, each occurrence counted."""
+    return resolved.where("kind = 'type' and target is not null").agg(F.count("*").alias("type_edges"))
+
+
+def structure_roots(files: DataFrame, most: int = 6) -> DataFrame:
+    """(root): the first of the top folders, by name."""
+    return files.where(F.col("file").contains("/")).select(F.substring_index("file", "/", 1).alias("root")).distinct().orderBy("root").limit(most)

@@ -29,15 +29,33 @@ def test_set_changes(spark):
     assert {tuple(r) for r in ledger.set_changes(a, b, "m").collect()} == {("a", "new"), ("c", "healed")}
 
 
-FINDING = "id string, risk string, title string, axes string, source string, priority string, ceiling string, gain_metric string"
+FIELDS = ("risk", "title", "symptom", "source", "cost_pain", "remedy", "remedy_cost", "gain", "gain_metric", "gain_target", "refutation", "confidence", "priority")
+
+
+def finding(name, **own):
+    return (name, *({k: "x" for k in FIELDS} | {"source": "m.x", "gain_metric": "manual", "confidence": "finding", "priority": "3"} | own).values())
+
+
 REFUTATION = "finding_id string, lens string, verdict string, reason string, mode string"
 
 
 def test_selfcheck(spark):
-    findings = spark.createDataFrame([("F1", "R1", "t", "a", "m.x; m.y", "3", "finding", "manual"), ("F2", "R1", " ", "a", "m.z", "9", "verdict", "nope"), ("F3", "R2", "t", "a", "m.x", "2", "verdict", None)], FINDING)
-    refutations = spark.createDataFrame([("F3", "L1 cost", "confirmed", "", "parallel"), ("F3", "L1", "confirmed", "", "parallel")], REFUTATION)
+    rows = [
+        finding("F1", source="m.x; m.y"), finding("F2", title=" ", source="m.z", priority="9", confidence="verdict", gain_metric="nope"), finding("F3", priority="2", confidence="verdict"),
+        finding("F4", priority="high"), finding("F5", priority="7"), finding("F6", priority="7", remedy=None), finding("F7", confidence="verdict"),
+    ]
+    findings = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("id", *FIELDS)))
+    lenses = [("F3", "L1 cost", "parallel"), ("F3", "L1", "parallel"), ("F5", "L1", None), ("F6", "L2", "sequential"), ("F7", "L1", "sequential"), ("F7", "L3", "sequential")]
+    refutations = spark.createDataFrame([(f, lens, "confirmed", "", mode) for f, lens, mode in lenses], REFUTATION)
     got = {tuple(r) for r in ledger.selfcheck(findings, refutations, spark.createDataFrame([("files",)], "metric string"), spark.createDataFrame([("m.x",), ("m.y",)], "source string")).collect()}
-    assert got == {("F2", "blank title"), ("F2", "unresolved m.z"), ("F2", "unknown metric nope"), ("F2", "not refuted"), ("F3", "verdict without two lenses in parallel")}
+    assert got == {("F2", "blank title"), ("F2", "unresolved m.z"), ("F2", "unknown metric nope"), ("F2", "not refuted"), ("F3", "verdict of one lens"), ("F5", "undeclared mode"), ("F6", "blank remedy"), ("F7", "verdict without a parallel lens")}
+    assert tuple(ledger.run_mode(findings, refutations).first()) == ("mixed", 1, 3)
+    assert tuple(ledger.run_mode(findings, refutations.where("false")).first()) == ("none", 0, 0)
+
+
+def test_deltas(spark):
+    rows = spark.createDataFrame([("base", 0.7, 10), ("now", 0.65, None)], "run string, containment_ratio double, files int")
+    assert [tuple(r) for r in ledger.gate_deltas(rows, "base", "now", ("containment_ratio", "files")).collect()] == [("containment_ratio", 0.7, 0.65, -0.05), ("files", 10.0, None, None)]
 
 
 def test_refutation_mode(spark):

@@ -38,6 +38,21 @@ def test_imports_resolve_to_files(spark):
     assert "os" in {r["package"] for r in source_text.external_packages(source_text.resolve(specs, tree)).collect()}
 
 
+TREE = ["src/user/__init__.py", "src/user/model.py", "src/user/repository.py", "src/core/db.py", "web/shared/api/index.ts", "web/pages/home.tsx", "web/pages/foo.service.ts", "b/util.ts", "a/x.ts"]
+
+
+def test_specs_lead_to_files(spark):
+    want = {
+        ("src/x.py", "src.user"): "src/user/__init__.py", ("src/user/repository.py", "src.user.model"): "src/user/model.py", ("src/user/repository.py", ".model"): "src/user/model.py",
+        ("src/user/repository.py", "..core.db"): "src/core/db.py", ("src/user/model.py", "."): "src/user/__init__.py", ("web/pages/home.tsx", "../shared/api"): "web/shared/api/index.ts",
+        ("web/pages/home.tsx", "@/shared/api"): "web/shared/api/index.ts", ("web/pages/home.tsx", "./foo.service"): "web/pages/foo.service.ts", ("a/x.ts", "../b/util"): "b/util.ts", ("a/x.ts", "./../a/./../b//util"): "b/util.ts",
+        ("x.py", "user.model"): "src/user/model.py", ("x.py", "fastapi"): None, ("x.py", "react"): None, ("x.py", "@tanstack/react-query"): None, ("x.py", ""): None, ("x.py", None): None, ("x.py", "../../../b/util"): None,
+    }
+    specs = spark.createDataFrame([(*k, "runtime") for k in want], "file string, spec string, kind string")
+    got = source_text.resolve(specs, spark.createDataFrame([(f,) for f in TREE], "file string"), ("src", "web")).collect()
+    assert {(r["file"], r["spec"]): r["target"] for r in got} == want and len(got) == len(want)
+
+
 def test_metrics_count_each_function_alone(spark):
     body = "def a(x):\n    if x:\n        for y in x:\n            pass\n    def b(z):\n        return 1 if z else 2\n    return b\n"
     rows = {r["file"]: r for r in source_text.file_metrics(files(spark, m=body, bad="def (")).collect()}
