@@ -67,7 +67,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     join_words = lambda *w: F.concat_ws(" ", *w)
     exact = saved(shingle_rows(items, ["item_id"], "text", join_words).distinct())
     sizes = exact.groupBy("item_id").agg(F.count("*").alias("item_shingles"))
-    both = shingle_rows(suspects, ["doc_id"], "text", join_words).join(maybe_broadcast(exact, exact.count()), "shingle")
+    held = exact.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("shingle")), F.lit(0)).alias("bytes")).first()
+    both = shingle_rows(suspects, ["doc_id"], "text", join_words).join(maybe_broadcast(exact, max(held["n"], held["bytes"] // 64)), "shingle")
     counted = both.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     found = found.select(F.col("doc_id").alias("__d"), F.col("item_id").alias("__i"))
     counted = counted.join(found, same(counted["doc_id"], found["__d"]) & same(counted["item_id"], found["__i"]), "left_semi")

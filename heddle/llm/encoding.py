@@ -2,7 +2,8 @@
 
 Both vocabularies split a text before they merge, and never across the places where an Encoder
 cuts; so ids are kept by piece of text and, below that, by the tokenizer's own pre-tokens, and only
-pre-tokens not yet seen reach the library's model. A piece with any character for which the split
+pre-tokens not yet seen reach the library's model. A text that holds the string of an added token, such as
+<|endoftext|>, goes to the library as a whole, which makes one id of it. A piece with any character for which the split
 can't be shown to be the tokenizer's goes through the whole library instead. An Encoder keeps
 at most CACHED pieces and PRETOKENS pre-tokens and then starts afresh, so memory is bounded; the ids don't
 depend on what it holds.
@@ -45,9 +46,7 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class _Odd(Exception):
@@ -109,9 +108,11 @@ class Encoder:
         self.word_ends = sum(t.endswith("</w>") for t in vocab) > len(vocab) // 10
         self.pieces = _Pieces(self.tokenizer, *(("", _WORD) if self.word_ends else (" ", _SPACED)), {}, {2: "H", 4: "I"}[width])
         self.get = self.pieces.__getitem__
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [(self._words if self.word_ends else self._spaced)(t) if t else b"" for t in texts]
+        return [(self.pieces.library if self.added(t) else self._words if self.word_ends else self._spaced)(t) if t else b"" for t in texts]
 
     def _words(self, text: str) -> bytes:
         """White space is dropped, so any space or line end is a place to cut."""

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import fresh, maybe_broadcast, numbered, saved, without_rows
 from heddle.operators.graph import weak_components
+from heddle.operators.saving import release
 
 WORDS, SHARE = 5, 0.8
 HASHES, MISS, SIZE_STEP, PASSES, SEED = 448, 1.2e-3, 2.0, 2, 5
@@ -200,7 +201,10 @@ def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, share: float) ->
     found = sets_of(rows, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     for end in ("a", "b"):
         pairs = pairs.join(found.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
-    return saved(pairs.where(F.size(F.array_intersect("sa", "sb")) >= _needed(F.greatest(F.size("sa"), F.size("sb")), share)).select("a", "b"))
+    links = saved(pairs.where(F.size(F.array_intersect("sa", "sb")) >= _needed(F.greatest(F.size("sa"), F.size("sb")), share)).select("a", "b"))
+    del pairs, found
+    release(rows.sparkSession)
+    return links
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,6 +237,7 @@ def prefix_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, share: fl
     sets = sets_of(rows, nodes, labels.select("node")).join(labels, "node")
     left = sets.select("node", "label", F.size("s").alias("size"), F.explode("s").alias("shingle"))
     for _ in range(PASSES):
+        release(rows.sparkSession)
         left = saved(left.join(_foreign(left), "shingle").select("node", "label", "size", "shingle"))
         able = saved(left.groupBy("node", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _needed("size", share)).select("node"))
         left = left.join(maybe_broadcast(able, able.count()), "node", "left_semi")
@@ -250,15 +255,19 @@ def _classes(rows: DataFrame, share: float) -> DataFrame:
     each = saved(rows.mapInArrow(sketch, schema))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = saved(each.groupBy("k1", "k2").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    each = saved(each.select("row", "id", "k1", "k2"))
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     members = saved(banded.join(maybe_broadcast(shared, shared.count()), "band"))
     weights = saved(members.groupBy("node").agg(F.sum("n").alias("weight")))
-    members = saved(members.select("band", "node").join(weights, "node"))
+    members, nodes = saved(members.select("band", "node").join(weights, "node")), saved(nodes.drop("bands"))
+    del banded, shared, weights
+    release(rows.sparkSession)
 
     pivots = saved(members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("pivot")))
     towards = members.join(maybe_broadcast(pivots, 2 * pivots.count()), "band").where("node <> pivot.node").groupBy("node").agg(F.max("pivot").alias("pivot"))
     checked = saved(towards.select("node", F.col("pivot.node").alias("other")).select(*_ordered("node", "other")).distinct())
+    del pivots, towards
     links = linked(rows, nodes, checked, share)
     members = _labelled(members, links)
     if not members.isEmpty():
@@ -275,7 +284,7 @@ def _classes(rows: DataFrame, share: float) -> DataFrame:
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     partner = saved(ends.groupBy("node").agg(F.min("other").alias("other")).join(nodes.select(F.col("node").alias("other"), F.col("first.id").alias("partner")), "other").select("node", "partner"))
     named = saved(named.join(stays, "label").join(partner, "node", "left").select("k1", "k2", "first", "stays", "partner"))
-    return each.select("row", "id", "k1", "k2").join(named, ["k1", "k2"]).select(
+    return each.join(named, ["k1", "k2"]).select(
         "row", F.col("id").alias("doc_id"), F.col("stays.id").alias("class_id"), F.when(F.col("row") == F.col("first.row"), F.col("partner")).otherwise(F.col("first.id")).alias("linked_to"), (F.col("row") == F.col("stays.row")).alias("kept")
     )
 

@@ -1,14 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled good texts, the unlabelled ones are documents of any kind; the model
-is that of pulearn. A text is described by shares of its characters and words: every ASCII mark
+is that of pulearn. A text is described in two ways. Its form: shares of its characters and words, that is every ASCII mark
 on its own, capitals, digits, letters, white space, lines, word length, distinct words, words that
 repeat the one before, and length. They say how a text is made, whatever its language. Each is
 compared with fixed edges, and a feature says that an edge is reached; so what is learnt from some
-values holds for larger ones too.
+values holds for larger ones too. Its content: hashed words, and hashed runs of three characters that make
+up GRAM_SHARE of all. Of these the executors count how many positives and unlabelled texts of the training
+sample have each, and the CONTENT strongest are kept whose shares differ by LEAST_Z standard errors, either way.
 
 Training takes at most about POSITIVES and UNLABELLED whole texts, chosen by a hash of the
-identifier, and executors send feature numbers, not texts. Scoring is one map-only pass over whole
+identifier, and executors send counts and feature numbers, not texts. Scoring is one map-only pass over whole
 texts.
 
 Cases: a null text counts as empty and is scored by the features that an empty text has. A null
@@ -19,6 +21,7 @@ out of the model.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import crc_mod, per_class_sample
+from heddle.llm.common import crc_mod, fresh, per_class_sample, saved
 from heddle.llm.files import arrow_rows
 from heddle.llm.pulearn import Rows, estimated_prior, fit, sigmoid
 
@@ -37,6 +40,8 @@ _SIZES = np.array([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384])
 _LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 40])
 _BINS, _STATS = len(_SHARES) + 1, 10
 SIZE = (len(_MARKS) + _STATS) * _BINS
+CONTENT, LEAST_Z, GRAM_SHARE, DIMS = 512, 5.0, 1 / 500, 1 << 14
+_CACHED = 300_000
 
 
 def _classes() -> np.ndarray:
@@ -74,19 +79,71 @@ def table_of(weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((len(by), 1)), np.cumsum(by, axis=1)], axis=1)
 
 
-def train_model(spark, positives: DataFrame, unlabelled: DataFrame, prior: float, text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights and bias from bounded samples of texts."""
+class Content(dict):
+    """Numbers of a text's content features, below 2 * DIMS: runs of characters, then words; holds a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > _CACHED:
+            self.clear()
+        self[word] = h = DIMS + xxhash.xxh64_intdigest(word) % DIMS
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        a = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        three = (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1]) * np.uint32(0x85EBCA6B) + a[2:]
+        counts = np.bincount((three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - DIMS.bit_length() + 1), minlength=DIMS)
+        words = np.fromiter({self[w] for w in text.split()}, np.int64)
+        return np.concatenate([np.flatnonzero(counts >= max(1, GRAM_SHARE * len(three))), np.sort(words)])
+
+
+def strongest(with_p: np.ndarray, with_u: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Numbers of the content features whose shares of n positives and m unlabelled texts differ most, at least by LEAST_Z standard errors."""
+    pooled = (with_p + with_u + 1) / (n + m + 2)
+    z = np.abs(with_p / max(1, n) - with_u / max(1, m)) / np.sqrt(pooled * (1 - pooled) * (1 / max(1, n) + 1 / max(1, m)))
+    order = np.lexsort((np.arange(len(z)), -z))[:CONTENT]
+    return np.sort(order[z[order] >= LEAST_Z])
+
+
+def train_model(spark, positives: DataFrame, unlabelled: DataFrame, prior: float, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of form and of all content features, and bias, from bounded samples of texts."""
+
+    def count(batches):
+        content, seen, rows = Content(), np.zeros((2, 2 * DIMS), np.int64), [0, 0]
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                for p, t in zip(part["positive"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    seen[int(p), content.of(t)] += 1
+                    rows[int(p)] += 1
+        at = np.flatnonzero(seen.sum(axis=0))
+        yield arrow_rows([(-1, rows[1], rows[0]), *zip(at.tolist(), seen[1, at].tolist(), seen[0, at].tolist(), strict=True)], "f int, p long, u long")
 
     def number(batches):
+        own = Content()
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
-                yield arrow_rows([(p, bins(t).tolist()) for p, t in zip(part["positive"].to_pylist(), part["text"].to_pylist(), strict=True)], "positive boolean, f ints")
+                rows = [(p, bins(t).tolist(), np.flatnonzero(np.isin(chosen, own.of(t))).tolist()) for p, t in zip(part["positive"].to_pylist(), part["text"].to_pylist(), strict=True)]
+                yield arrow_rows(rows, "positive boolean, f ints, c ints")
 
     both = positives.select(F.col(text_col).alias("text"), F.lit(True).alias("positive")).unionByName(unlabelled.select(F.col(text_col).alias("text"), F.lit(False).alias("positive")))
-    rows = sorted((r["positive"], r["f"]) for r in both.mapInArrow(number, "positive boolean, f array<int>").collect())
-    p, u = Rows.of([features(np.array(f)) for x, f in rows if x]), Rows.of([features(np.array(f)) for x, f in rows if not x])
-    return fit(p, u, SIZE, prior)
+    both = saved(both)
+    seen, rows = np.zeros((2, 2 * DIMS)), {True: 0, False: 0}
+    for r in both.mapInArrow(count, "f int, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).collect():  # at most 2 * DIMS rows
+        if r["f"] < 0:
+            rows = {True: r["p"], False: r["u"]}
+        else:
+            seen[:, r["f"]] = r["p"], r["u"]
+    chosen = strongest(seen[0], seen[1], rows[True], rows[False])
+    found = sorted((r["positive"], r["f"], r["c"]) for r in both.mapInArrow(number, "positive boolean, f array<int>, c array<int>").collect())
+    p, u = (Rows.of([np.concatenate([features(np.array(f)), SIZE + np.array(c, np.int64)]) for x, f, c in found if x == kind]) for kind in (True, False))
+    weights, bias = fit(p, u, SIZE + len(chosen), prior)
+    content = np.zeros(2 * DIMS)
+    content[chosen] = weights[SIZE:]
+    return weights[:SIZE], content, bias
 
 
 def split_samples(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", positives: int = POSITIVES, unlabelled: int = UNLABELLED, errors: float = ERRORS) -> tuple[DataFrame, DataFrame, float]:
@@ -106,17 +163,18 @@ def split_samples(docs: DataFrame, labels: DataFrame, label: str, held_out: Colu
     return p, u, prior
 
 
-def scorer(spark, weights: np.ndarray, bias: float):
+def scorer(spark, weights: np.ndarray, content: np.ndarray, bias: float):
     """A column function: text to score."""
-    held, each = spark.sparkContext.broadcast((table_of(weights), bias)), np.arange(SIZE // _BINS)
+    held, each = spark.sparkContext.broadcast((table_of(weights), content, bias)), np.arange(SIZE // _BINS)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        table, b = held.value
-        out = []
-        for at in range(0, len(texts), 200):  # a slice at a time becomes Python strings
-            out += [float(sigmoid(table[each, bins(t)].sum() + b)) for t in texts.slice(at, 200).to_pylist()]
-        return pa.array(out, pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        (table, c, b), own = held.value, Content()
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 200):  # a slice at a time becomes Python strings
+                out += [float(sigmoid(table[each, bins(t)].sum() + c[own.of(t)].sum() + b)) for t in texts.slice(at, 200).to_pylist()]
+            yield pa.array(out, pa.float64())
 
     return score
 
@@ -140,5 +198,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier predicts to be good; columns as they are."""
-    score = fit_scorer(docs, labels, quality_fold())
-    return docs.withColumn("__score", score(F.col("text"))).where("__score >= 0.5").drop("__score")
+    score, name = fit_scorer(docs, labels, quality_fold()), fresh(docs, "__score")
+    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= 0.5).drop(name)

@@ -34,7 +34,7 @@ def op8_decontamination(spark, sf_dir):
 
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return held_out_languages(docs, crc_mod(docs["doc_id"], 4) == 2).drop("rejected")
+    return held_out_languages(docs, crc_mod(docs["doc_id"], 4) == 2)
 
 
 def op4_best_fit_packing(spark, sf_dir):

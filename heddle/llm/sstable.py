@@ -14,10 +14,12 @@ the filter, finds the block by binary search in the sparse index and the entry b
 over restart places; entries() reads a shard in order, a block at a time.
 
 Documents are range-partitioned by identifier, so shards are disjoint and ordered, and a
-document's place in the corpus is its place in the shard plus the ids of the shards before.
+document's place in the corpus is its place in the shard plus the ids of the shards before. A task closes a
+shard at SHARD_BYTES and goes on with the next, so a shard, its index and filter have a size that doesn't depend on the corpus.
 
 Cases: a null or empty text is the end id alone; documents that repeat an identifier are all kept,
-next to each other; a null identifier sorts first. An empty table gives no rows.
+next to each other, in an order that their texts decide (by hash, then text), so many of them spread over several
+shards and places are the same in every run; a null identifier sorts first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import saved, shared_dir
+from heddle.llm.common import remove, saved, shared_dir
 from heddle.llm.encoding import Encoder, tokenizer_path, width_of
 from heddle.llm.files import arrow_rows, attempt_name, open_fs, partition_id
 
 MAGIC = b"HSSTABL1"
-BLOCK, RESTART, BITS_PER_KEY, HASHES = 1 << 18, 16, 10, 7
+BLOCK, RESTART, BITS_PER_KEY, HASHES, SHARD_BYTES = 1 << 18, 16, 10, 7, 1 << 28
 _FOOTER = struct.Struct("<QQQQQQB")  # index place and size, filter place and size, entries, ids, width
 _ENTRY = struct.Struct("<BBI")
 
@@ -182,32 +184,38 @@ class Reader:
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Tokenises docs into shards below folder; returns a saved row per shard: shard, path, entries, ids, base (ids of the shards before)."""
+    """Tokenises docs into shards below folder; returns a saved row per shard: shard, part, path, entries, ids, base (ids of the shards before)."""
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
-    schema, width = "shard int, path string, entries long, ids long", width_of(tokenizer, end_id)
+    schema, width = "shard int, part int, path string, entries long, ids long", width_of(tokenizer, end_id)
 
     def write(batches):
-        encoder, end, writer = Encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), None
+        encoder, end, writer, part = Encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), None, 0
         fs, root = open_fs(folder)
-        name = attempt_name(partition_id(), ".sst")
+
+        def close():
+            writer.close()
+            writer.out.close()
+            return arrow_rows([(partition_id(), part, name, writer.entries, writer.ids)], schema)
+
         for batch in batches:
-            if writer is None:
-                fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{root}/{name}")
-                writer = Writer(out, width)
             for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                for doc, raw in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
+                rows = batch.slice(at, 200)
+                for doc, raw in zip(rows["doc_id"].to_pylist(), encoder.encode(rows["text"].to_pylist()), strict=True):
+                    if writer is None:
+                        fs.create_dir(root, recursive=True)
+                        name = attempt_name(partition_id(), ".sst")
+                        writer = Writer(fs.open_output_stream(f"{root}/{name}"), width)
                     writer.add(key_of(doc), raw + end)
+                    if writer.at + len(writer.body) >= SHARD_BYTES:
+                        yield close()
+                        writer, part = None, part + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield arrow_rows([(partition_id(), name, writer.entries, writer.ids)], schema)
+            yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, schema))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    shards = saved(rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(write, schema))
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
@@ -234,6 +242,9 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Writes shards to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes shards to the shared folder, reads them back and deletes them: doc_id, start, n_tokens, ids_crc32."""
     folder = shared_dir(docs.sparkSession, "sst")
-    return read_shards(write_shards(docs, folder, id_col, text_col, tokenizer, end_id), folder)
+    try:
+        return saved(read_shards(write_shards(docs, folder, id_col, text_col, tokenizer, end_id), folder))
+    finally:
+        remove(docs.sparkSession, folder)

@@ -1,9 +1,10 @@
 """Toxicity classifier by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives, documents of any kind the unlabelled ones; risk and
-optimiser are those of pulearn. A text's features are the words it has and their beginnings
-of three to seven letters, so that inflected forms of a stem count even if they were never seen.
-Of all features of the training sample (equal texts counting once) those are kept whose share among positives exceeds
+optimiser are those of pulearn. A text's features are the words it has, their beginnings
+of three to seven letters, so that inflected forms of a stem count even if they were never seen, and for beginnings
+that come again whether they make up certain shares (RATES) of all words: a stem that any long text has
+by chance tells little, one that keeps coming much. Of all features of the training sample (equal texts counting once) those are kept whose share among positives exceeds
 that among unlabelled texts by LEAST_Z standard errors; the counts are taken by the executors, and
 at most FEATURES of the strongest reach the driver.
 
@@ -18,6 +19,7 @@ labels every score is the same. An empty table gives no rows; other columns are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from heddle.llm.pulearn import Rows, fit, sigmoid
 from heddle.llm.quality import split_samples
 
 POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS, LEAST_Z, ERRORS = 4_000, 12_000, 4_096, 8, 5.0, 1.0
-SHORT, LONG = 3, 7
+SHORT, LONG, RATES = 3, 7, (0.01, 0.03, 0.08)
 _WORD = re.compile(r"[^\W_]+")
 _CACHED = 400_000
 
@@ -40,22 +42,50 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(SHORT, min(LONG, len(word)) + 1))]
 
 
+def words_of(text: str | None) -> tuple[dict[str, int], int]:
+    words = _WORD.findall((text or "").lower())
+    return Counter(words), len(words)
+
+
+def reached(count: int, words: int) -> list[float]:
+    """The rates that a beginning reaches with its count among so many words."""
+    return [r for r in RATES if count >= 2 and count >= r * words]
+
+
+def text_features(text: str | None) -> set[str]:
+    """All features of a whole text; a rate is written behind an @, which no word holds."""
+    words, n = words_of(text)
+    counts: Counter = Counter()
+    for w, k in words.items():
+        for f in features(w):
+            counts[f] += k
+    return set(counts) | {f"{f}@{r}" for f, k in counts.items() if f[-1] == "*" for r in reached(k, n)}
+
+
 class Finder(dict):
-    """The chosen features of each word, by word; holds a bounded number of words."""
+    """The chosen words and beginnings of each word, by word; holds a bounded number of words."""
 
     def __init__(self, chosen: list[str]):
         super().__init__()
-        self.number = {f: i for i, f in enumerate(chosen)}
+        self.number: dict[str, dict[float, int]] = {}
+        for i, f in enumerate(chosen):
+            base, _, rate = f.partition("@")
+            self.number.setdefault(base, {})[float(rate or 0)] = i
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) > _CACHED:
             self.clear()
-        self[word] = own = tuple(self.number[f] for f in features(word) if f in self.number)
+        self[word] = own = tuple(f for f in features(word) if f in self.number)
         return own
 
     def of(self, text: str | None) -> list[int]:
         """Ascending numbers of the features of a whole text."""
-        return sorted({i for own in filter(None, map(self.__getitem__, set(_WORD.findall((text or "").lower())))) for i in own})
+        words, n = words_of(text)
+        counts: dict[str, int] = {}
+        for w, k in words.items():
+            for f in self[w]:
+                counts[f] = counts.get(f, 0) + k
+        return sorted(i for f, k in counts.items() for i in map(self.number[f].get, [0.0, *reached(k, n)]) if i is not None)
 
 
 def choose(sample: DataFrame) -> list[str]:
@@ -63,7 +93,7 @@ def choose(sample: DataFrame) -> list[str]:
 
     def parts(batches):
         for batch in batches:
-            rows = [(bool(p), list({f for w in set(_WORD.findall((t or "").lower())) for f in features(w)})) for p, t in zip(batch["positive"], batch["text"], strict=True)]
+            rows = [(bool(p), list(text_features(t))) for p, t in zip(batch["positive"], batch["text"], strict=True)]
             yield pd.DataFrame(rows, columns=["positive", "f"])
 
     totals = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}

@@ -9,8 +9,8 @@ the one above is estimated from the outcomes themselves (moments of the beta-bin
 groups of that level). A page without a rule is blocked if the lower bound of its host's posterior
 share of bad pages is over a limit.
 
-The suffix is the host's last label and the registered domain its last two (no list of public
-suffixes is assumed). Counting combines before it shuffles: a host that has a third of all pages
+The suffix is the host's last label and the registered domain its last two, or one more of each where a host ends
+in one of `suffixes`, a list of public suffixes of two labels such as co.uk (none is assumed). Counting combines before it shuffles: a host that has a third of all pages
 sends one row from each task; pages then join the host table, which has one row a host.
 
 Cases: a null url or one without :// has empty host and path, which are one host. Rules never fit
@@ -63,36 +63,40 @@ def _strength(groups: DataFrame, up: str, on: str | None) -> float:
     return MOST if rho <= 0 else max(LEAST, min(MOST, (1 - rho) / rho))
 
 
-def reputations(hosts: DataFrame) -> DataFrame:
+def reputations(hosts: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """From (host, n labelled pages, k bad ones): host, bad_mean, bad_low. n may be 0.
 
     Only single numbers reach the driver: the corpus' share of bad pages and a strength for each level.
     """
     label = F.split("host", r"\.")
-    hosts = hosts.withColumn("suffix", F.element_at(label, -1)).withColumn("domain", F.when(F.size(label) > 1, F.concat_ws(".", F.element_at(label, -2), F.element_at(label, -1))).otherwise(F.col("host")))
+    last = lambda n: F.array_join(F.slice(label, -n, n), ".")
+    longer = (F.size(label) > 1) & last(2).isin(*suffixes) if suffixes else F.lit(False)
+    suffix = F.when(longer, last(2)).otherwise(F.element_at(label, -1))
+    domain = F.when(longer & (F.size(label) > 2), last(3)).when(F.size(label) > 1, last(2)).otherwise(F.col("host"))
+    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
     hosts = saved(hosts)
     add = (F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = hosts.groupBy("domain", "suffix").agg(*add)
-    suffixes = domains.groupBy("suffix").agg(*add)
-    n, k = suffixes.agg(*add).first()
+    tops = domains.groupBy("suffix").agg(*add)
+    n, k = tops.agg(*add).first()
 
     def shrunk(df: DataFrame, on: str | None) -> DataFrame:
         m = F.lit(_strength(df, "up", on))
         return df.withColumn("a", F.col("k") + m * F.col("up")).withColumn("b", F.col("n") - F.col("k") + m * (1 - F.col("up")))
 
     mean = F.col("a") / (F.col("a") + F.col("b"))
-    suffixes = shrunk(suffixes.withColumn("up", F.lit(k / n if n else 0.0)), None).select("suffix", mean.alias("up"))
-    domains = shrunk(domains.join(suffixes, "suffix"), "suffix").select("domain", mean.alias("up"))
+    tops = shrunk(tops.withColumn("up", F.lit(k / n if n else 0.0)), None).select("suffix", mean.alias("up"))
+    domains = shrunk(domains.join(tops, "suffix"), "suffix").select("domain", mean.alias("up"))
     total = F.col("a") + F.col("b")
     low = mean - F.lit(Z) * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
     return shrunk(hosts.join(domains, "domain"), "domain").select("host", mean.alias("bad_mean"), low.alias("bad_low"))
 
 
-def judge(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", rules=RULES, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, bad_low (the host's posterior bound)."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(page_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("by", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "by.rule", F.col("by.verdict").alias("ruled"))
     hosts = rows.groupBy("host").agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("k"))
     verdict = F.coalesce("ruled", F.when(F.col("bad_low") > LIMIT, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(reputations(hosts), "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_low")
+    return rows.join(reputations(hosts, suffixes), "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_low")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import maybe_broadcast, saved, shared_dir
+from heddle.llm.common import maybe_broadcast, remove, saved, shared_dir
 from heddle.llm.files import attempt_name, long_ids, open_fs, partition_id
 
 DATE = "2024-01-01T00:00:00Z"
@@ -158,7 +158,8 @@ def write_archives(pages: DataFrame, folder: str, page_col: str = "page_id", url
     """Writes pages as monolithic gzip archives below folder; returns a saved row per archive: path, records."""
     # identifiers travel as text: a nullable long would reach pandas as float
     rows = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
-    digest = F.unhex(F.sha1(F.col("html").cast("binary")))
+    body = F.col("html").cast("binary")
+    digest = F.struct(F.unhex(F.sha1(body)).alias("sha1"), F.unhex(F.sha2(body, 256)).alias("sha2"), F.length(body).alias("bytes"))  # SHA-1 alone can be made to agree for different payloads
     groups = rows.select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     groups = saved(groups.select("digest", F.col("first").cast("string").alias("first")))
     rows = rows.withColumn("digest", digest).join(maybe_broadcast(groups, groups.count()), "digest", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "first")
@@ -247,6 +248,9 @@ def _lines(stream):
 
 
 def archive_round_trip(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes pages to archives in the shared folder, normalises them and reads them back."""
+    """Writes pages to archives in the shared folder, normalises them, reads them back and deletes them."""
     folder = shared_dir(pages.sparkSession, "warc")
-    return read_archives(normalise_archives(write_archives(pages, folder, page_col, url_col, payload_col), folder), folder)
+    try:
+        return saved(read_archives(normalise_archives(write_archives(pages, folder, page_col, url_col, payload_col), folder), folder))
+    finally:
+        remove(pages.sparkSession, folder)

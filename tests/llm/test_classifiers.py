@@ -88,6 +88,8 @@ def test_odd_rows(odd_documents, odd_labels):
         rows = score(odd_documents, odd_labels).collect()
         assert len(rows) == 11 and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in rows)
         assert score(odd_documents, odd_labels.where("false")).count() == 11 and score(odd_documents.where("false"), odd_labels).count() == 0
+    clash = odd_documents.withColumn("__score", F.lit(7)).withColumn("__lang", F.lit("x"))
+    assert quality.keep_good(clash, odd_labels).columns == clash.columns
     kept = quality.keep_good(odd_documents, odd_labels)
     assert kept.columns == odd_documents.columns
     rows = langid.held_out_languages(odd_documents, F.col("doc_id") == 2).collect()
@@ -106,3 +108,58 @@ def test_risk_estimator_finds_the_hidden_negatives():
     w, b = pulearn.fit(pulearn.Rows.of(p), pulearn.Rows.of(u), 12, pulearn.estimated_prior(7000, 3000, len(u), quality.ERRORS))
     assert ((pulearn.Rows.of(u).dot(w) + b >= 0) == truth).mean() > 0.95
     assert pulearn.fit(pulearn.Rows.of([]), pulearn.Rows.of(u), 12, 0.5)[0].tolist() == [0.0] * 12
+
+
+def test_risk_falls_to_a_brute_force_minimum():
+    """The fitted weights are as good as any near them under the risk written out pair by pair."""
+    rng = np.random.default_rng(5)
+    p, u = [np.flatnonzero(rng.random(4) < [0.9, 0.5, 0.2, 0.5]) for _ in range(200)], [np.flatnonzero(rng.random(4) < ([0.9, 0.5, 0.2, 0.5] if i % 2 else [0.1, 0.5, 0.8, 0.5])) for i in range(400)]
+
+    def risk(w, b):
+        z = lambda rows: [b + sum(w[j] for j in r) for r in rows]
+        mean = lambda x: sum(x) / len(x)
+        below = mean([np.log1p(np.exp(v)) for v in z(u)]) - 0.5 * mean([np.log1p(np.exp(v)) for v in z(p)])
+        return 0.5 * mean([np.log1p(np.exp(-v)) for v in z(p)]) + max(0, below) + 0.5e-4 * sum(x * x for x in w)
+
+    w, b = pulearn.fit(pulearn.Rows.of(p), pulearn.Rows.of(u), 4, 0.5)
+    best = risk(w, b)
+    assert best < risk(np.zeros(4), 0.0)
+    for i in range(5):
+        for step in (-0.05, 0.05):
+            v, c = w.copy(), b
+            if i < 4:
+                v[i] += step
+            else:
+                c += step
+            assert risk(v, c) >= best - 1e-4
+
+
+def test_language_is_that_of_the_nearest_centroid():
+    rng = random.Random(2)
+    rows = [(k, *langid.grams(words(rng, k, 40))) for k in ALPHABETS for _ in range(30)]
+    model = langid.train(rows)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=0), 1, atol=1e-5) and len(model.languages) > len(ALPHABETS)
+    for k in ALPHABETS:
+        text = words(rng, k, 25)
+        counts = dict(zip(*langid.grams(text), strict=True))
+        v = {i: np.log1p(c) * model.idf[i] for i, c in counts.items()}
+        length = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(x * model.centroids[i, j] for i, x in v.items()) / length for j in range(len(model.languages))]
+        lang, score, rejected = model.predict(text)
+        best = int(np.argmax(cosines))
+        assert lang == model.languages[best] == k and abs(score - cosines[best]) < 1e-5 and rejected == (1 - cosines[best] > langid.SLACK * model.radius[best])
+
+
+def test_chosen_features_are_found_in_texts():
+    rng = random.Random(3)
+    texts = [words(rng, "aa", n) for n in (0, 1, 3, 30, 400)] + [None, "vile vile vilely x"]
+    every = sorted(set().union(*map(toxicity.text_features, texts)))
+    finder = toxicity.Finder(every)
+    for t in texts:
+        assert {every[i] for i in finder.of(t)} == toxicity.text_features(t)
+    assert {"vil*@0.08", "vilely", "vile*"} <= toxicity.text_features(texts[-1]) and "vilel*@0.01" not in toxicity.text_features(texts[-1])
+
+
+def test_strongest_content_differs_most():
+    p, u = np.array([90, 0, 50, 1]), np.array([10, 80, 50, 1])
+    assert quality.strongest(p, u, 100, 100).tolist() == [0, 1]

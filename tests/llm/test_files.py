@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from heddle.llm import encoding, packing, sstable, urls, warc
 from heddle.llm.common import shared_dir
 
-ODD = ["", " ", "  a  b ", "a\n\n b", "İstanbul ΣΑΣ ς", "it's I'LL don'T 'S", "x\t y\r\n z", "naïve é ́ a", "<|endoftext|> b", "日本語 テキスト １２³", "a\x1cb \x85 c d", "trailing \n", "\n lead", "a × b÷c _x_ __ !!", "₂²½ 12,3", "a" * 3000, "😀 😀😀 a😀", "a  'll  b 's"]
+ODD = ["", " ", "  a  b ", "a\n\n b", "İstanbul ΣΑΣ ς", "it's I'LL don'T 'S", "x\t y\r\n z", "naïve é ́ a", "<|endoftext|> b", "a<|endoftext|>", "x <|startoftext|> y  <|ENDOFTEXT|>", "日本語 テキスト １２³", "a\x1cb \x85 c d", "trailing \n", "\n lead", "a × b÷c _x_ __ !!", "₂²½ 12,3", "a" * 3000, "😀 😀😀 a😀", "a  'll  b 's"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -18,7 +19,7 @@ def test_encoder_is_the_library(name, monkeypatch):
     monkeypatch.setattr(encoding, "CACHED", 50)
     monkeypatch.setattr(encoding, "PRETOKENS", 40)
     path = encoding.tokenizer_path(name)
-    library, rng = encoding.load(path), random.Random(6)
+    library, rng = Tokenizer.from_file(path), random.Random(6)
     parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "é", "1", "²", "!!", "Σ", "日", "́", "\xa0", "\x1c", "_", "-", "Word", "ther,"]
     texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
     for width in (2, 4):
@@ -45,7 +46,7 @@ def check_packing(rows, capacity):
 
 
 def test_packing_of_odd_rows(spark, odd_documents):
-    library = encoding.load(encoding.tokenizer_path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(encoding.tokenizer_path("word_bpe_49k.json"))
     rows = packing.pack(odd_documents).collect()
     want = []
     for d in odd_documents.collect():
@@ -100,7 +101,7 @@ def test_packing_empty(spark, odd_documents):
 
 
 def test_shards_round_trip(spark, odd_documents):
-    library = encoding.load(encoding.tokenizer_path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(encoding.tokenizer_path("byte_bpe_50k.json"))
     rows = sstable.token_shards(odd_documents).collect()
     at, want = 0, []
     for d in sorted(odd_documents.collect(), key=lambda d: (d["doc_id"] is not None, d["doc_id"] or 0)):
@@ -111,6 +112,19 @@ def test_shards_round_trip(spark, odd_documents):
     assert sstable.token_shards(odd_documents.where("false")).count() == 0
 
 
+def test_shards_of_ties_and_small_shards(spark, monkeypatch):
+    rows = [(3, f"text {i % 4}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(i, "one " * 50) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    starts = lambda d: sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.token_shards(d).collect()), key=repr)
+    want = starts(docs)
+    assert starts(docs.orderBy(sstable.F.rand(1)).repartition(7)) == want
+    assert [r[1] for r in sorted(want, key=lambda r: r[1])] == [0, *np.cumsum([r[2] for r in sorted(want, key=lambda r: r[1])])[:-1]]
+    write, folder = sstable.write_shards, shared_dir(spark, "few")
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 300)
+    shards = write(docs, folder)
+    assert shards.count() > 8 and sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.read_shards(shards, folder).collect()), key=repr) == want
+
+
 class Buffer(io.BytesIO):
     def size(self):
         return len(self.getvalue())
@@ -198,5 +212,8 @@ def test_reputation_is_shrunk(spark):
     pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(bad + good + free)], "page_id long, url string")
     got = {r["host"]: r["verdict"] for r in urls.judge(pages).where("path = '/x'").collect()}
     assert got == {"evil.org": "block", "new.evil.org": "block", "h1.net": "allow", "new.net": "allow"}
+    uk = spark.createDataFrame([(f"{x}.co.uk", n, k) for x, n, k in (("bad", 50, 50), ("www.bad", 0, 0), ("good", 50, 0), ("new", 0, 0))], "host string, n long, k long")
+    low = {r["host"]: r["bad_mean"] for r in urls.reputations(uk, ("co.uk",)).collect()}
+    assert low["www.bad.co.uk"] > 0.9 and low["good.co.uk"] < 0.1 and 0.3 < low["new.co.uk"] < 0.7
     nothing = urls.judge(spark.createDataFrame([(1, "http://a/"), (None, None)], "page_id long, url string")).collect()
     assert {r["verdict"] for r in nothing} == {"allow"} and urls.judge(pages.where("false")).count() == 0

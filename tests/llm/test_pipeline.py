@@ -1,7 +1,10 @@
 import hashlib
 import random
+from pathlib import Path
 
+import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from heddle.llm import encoding, near_dedup, queries
@@ -47,7 +50,7 @@ def test_stages(spark, tables):
     kept -= {d for d, _, _ in brute_leaks([(i, rows[i]) for i in kept], list(enumerate(items)))}
     after = corpus_pipeline.STAGES[3][1](spark, after, root)
     assert after.columns == columns and {r["doc_id"] for r in after.collect()} == kept
-    library = encoding.load(encoding.tokenizer_path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(encoding.tokenizer_path("word_bpe_49k.json"))
     packed = queries.pipeline(spark, root).collect()
     assert {r["doc_id"] for r in packed} == kept
     assert sum(r["length"] for r in packed) == sum(len(library.encode(rows[i], add_special_tokens=False).ids) + 1 for i in kept)
@@ -59,3 +62,19 @@ def test_every_query_is_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, str(DATA))
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
