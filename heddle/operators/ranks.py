@@ -43,10 +43,10 @@ def exact_median(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def beside(*rows: DataFrame) -> DataFrame:
-    """One row of tables of one row each."""
+    """One row of tables of one row each; nulls for those after the first that have none."""
     out = rows[0].withColumn("__one", F.lit(1))
     for other in rows[1:]:
-        out = out.join(other.withColumn("__one", F.lit(1)), "__one")
+        out = out.join(other.withColumn("__one", F.lit(1)), "__one", "left")
     return out.drop("__one")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +23,14 @@ def history(spark: SparkSession, plan: list[tuple[str, str, list[str]]], now: in
     rows = [(i, a, s, fs, now - ago * DAY + int(i * step * DAY)) for i, (a, s, fs) in enumerate(commits)]
     df = spark.createDataFrame(rows, "n long, author string, subject string, files array<string>, epoch long")
     return df.select(F.sha1(F.concat_ws(":", F.col("n").cast("string"), "subject")).alias("sha"), "author", "epoch", "subject", "files")
+
+
+def write_repository(path: str, commits: list[tuple[str, str, dict[str, str]]], start: int = 1_700_000_000, step: int = DAY) -> None:
+    """A new git repository of commits (author, subject, {file: body}), `step` seconds apart, checked out."""
+    out = []
+    for i, (author, subject, files) in enumerate(commits):
+        out.append(f"commit refs/heads/main\ncommitter {author} <{author}@example.org> {start + i * step} +0000\ndata {len(subject.encode())}\n{subject}\n")
+        out += [f"M 644 inline {name}\ndata {len(body.encode())}\n{body}\n" for name, body in files.items()]
+    subprocess.run(["git", "init", "-q", "-b", "main", path], check=True)
+    subprocess.run(["git", "-C", path, "fast-import", "--quiet"], input="".join(out).encode(), check=True)
+    subprocess.run(["git", "-C", path, "reset", "-q", "--hard"], check=True)
