@@ -69,7 +69,7 @@ def measure(spark: SparkSession, repo: str, layer_depth: int = 1, branch_control
     )
     release(spark)
 
-    owned = CL.windows(source_text.token_arrays(tree.where(F.col("file").endswith(".py"))), "file", "tokens")
+    owned = CL.windows(source_text.token_arrays(tree), "file", "tokens")
     copies = _head(CL.clone_pairs(owned), "clones", 40, F.desc("shared"), "a", "b")
     structure, behaviour, copies = saved(structure), saved(behaviour), saved(copies)
     regex = source_text.import_specs(tree).where("backend = 'regex'").agg(F.countDistinct("file").alias("regex_files"))

@@ -1,6 +1,6 @@
 """Source files to import specifications, metrics and tokens.
 
-Python is parsed with ast; for other languages imports come from regular expressions, and the backend
+Python is parsed with ast; for other languages imports, metrics and tokens come from regular expressions (braces), and the backend
 column says which it was. Numbers of the ast backend aren't those of a concrete-syntax
 parser; use them within one backend.
 """
@@ -15,6 +15,8 @@ import tokenize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.sources import braces
+
 SUFFIXES = {".py": "python", ".js": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".go": "go", ".java": "java", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "c"}
 PATTERNS = {
     "js": r"""(?m)(?:^\s*(?:import|export)\b[^'"\n]*?|\brequire\(\s*|\bimport\(\s*)['"]([^'"]+)['"]""",
@@ -23,6 +25,7 @@ PATTERNS = {
     "rust": r"(?m)^\s*(?:pub\s+)?(?:use|mod)\s+([\w:]+)",
     "c": r"""(?m)^\s*#\s*include\s*[<"]([^">]+)[">]""",
 }
+TYPE_IMPORT = r"""(?m)^\s*(?:import|export)\s+type\b[^'"\n]*?['"]([^'"]+)['"]"""
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.BoolOp, ast.match_case, ast.With, ast.AsyncWith)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 
@@ -120,18 +123,41 @@ def import_specs(files: DataFrame) -> DataFrame:
     out = python
     for language, pattern in PATTERNS.items():
         own = files.where(suffix.isin(*[s for s, x in SUFFIXES.items() if x == language]))
-        out = out.unionByName(own.select("file", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("spec"), F.lit("runtime").alias("kind"), F.lit("regex").alias("backend")))
+        rows = lambda df, rule, kind: df.select("file", F.explode(F.regexp_extract_all("body", F.lit(rule), F.lit(1))).alias("spec"), F.lit(kind).alias("kind"), F.lit("regex").alias("backend"))
+        if language == "js":  # what `import type` brings is gone at run time
+            out = out.unionByName(rows(own, TYPE_IMPORT, "type"))
+            own = own.withColumn("body", F.regexp_replace("body", TYPE_IMPORT, ""))
+        out = out.unionByName(rows(own, pattern, "runtime"))
     return out
 
 
+def _is_braced(file: str) -> bool:
+    return not file.endswith(".py")
+
+
 def file_metrics(files: DataFrame) -> DataFrame:
-    """One row per Python file; nulls where it can't be parsed."""
-    schema = "file string, loc int, cyclomatic_total int, cyclomatic_max int, worst_line int, max_nesting int, functions int"
-    return _parsed(files.where(F.col("file").endswith(".py")), schema, lambda file, body: [(file, *([None] * 6 if body is None else python_metrics(body)))])
+    """One row per source file; nulls where it can't be parsed. backend: ast for Python, regex for languages with braces."""
+    schema = "file string, loc int, cyclomatic_total int, cyclomatic_max int, worst_line int, max_nesting int, functions int, backend string"
+
+    def make(file, body):
+        own = [None] * 6 if body is None else braces.metrics(body) if _is_braced(file) else python_metrics(body)
+        return [(file, *own, "regex" if _is_braced(file) else "ast")]
+
+    return _parsed(_known(files), schema, make)
+
+
+def _known(files: DataFrame) -> DataFrame:
+    return files.where(F.regexp_extract("file", r"(\.[^./]+)$", 1).isin(*SUFFIXES))
+
+
+def token_rows(files: DataFrame) -> DataFrame:
+    """(file, pos, tok, line_start, line_end)."""
+    make = lambda file, body: [] if body is None else [(file, i, *x) for i, x in enumerate(braces.tokens(body) if _is_braced(file) else python_tokens(body))]
+    return _parsed(_known(files), "file string, pos int, tok string, line_start int, line_end int", make)
 
 
 def token_arrays(files: DataFrame) -> DataFrame:
-    """(file, tokens): ready for operators.clones.windows()."""
+    """(file, tokens): ready for operators.clones.windows(); empty where a file can't be parsed."""
 
     def rows(batches):
         import pandas as pd
@@ -140,12 +166,12 @@ def token_arrays(files: DataFrame) -> DataFrame:
             found = []
             for file, body in zip(batch["file"], batch["body"], strict=True):
                 try:
-                    found.append((file, [x[0] for x in python_tokens(body)]))
+                    found.append((file, [x[0] for x in (braces.tokens(body) if _is_braced(file) else python_tokens(body))]))
                 except (SyntaxError, IndentationError, tokenize.TokenError):
                     found.append((file, []))
             yield pd.DataFrame(found, columns=["file", "tokens"])
 
-    return files.select("file", "body").mapInPandas(rows, "file string, tokens array<string>")
+    return _known(files).select("file", "body").mapInPandas(rows, "file string, tokens array<string>")
 
 
 def _dotted(path: Column) -> Column:

@@ -60,6 +60,33 @@ def test_metrics_count_each_function_alone(spark):
     assert rows["bad.py"]["loc"] is None
 
 
+JS = """import type { A } from './a';
+import b, { c } from "./b";
+// if (x) { while (1) {} }
+function first(x) {
+  if (x && x.y) { for (const z of x) { log("if {", z); } }
+  return x ? 1 : 2;
+}
+class K {
+  method(a) { switch (a) { case 1: return 1; case 2: return 2; } }
+}
+const short = (q) => q + 1;
+"""
+
+
+def test_languages_with_braces(spark):
+    files = spark.createDataFrame([("m.ts", JS), ("m.go", "package m\nfunc F(x int) int {\n\tif x > 1 {\n\t\treturn 1\n\t}\n\treturn 2\n}\n"), ("M.java", "class M { int f(int a) { while (a > 0) { a--; } return a; } }"), ("x.txt", "if")], "file string, body string")
+    rows = {r["file"]: (r["cyclomatic_total"], r["cyclomatic_max"], r["worst_line"], r["max_nesting"], r["functions"], r["backend"]) for r in source_text.file_metrics(files).collect()}
+    assert rows == {"m.ts": (7, 5, 4, 2, 3, "regex"), "m.go": (2, 2, 2, 1, 1, "regex"), "M.java": (2, 2, 1, 1, 1, "regex")}
+    specs = {(r["file"], r["spec"], r["kind"]) for r in source_text.import_specs(files).collect()}
+    assert specs == {("m.ts", "./a", "type"), ("m.ts", "./b", "runtime")}
+    toks = [r["tok"] for r in source_text.token_rows(files.where("file = 'M.java'")).orderBy("pos").collect()]
+    assert toks[:9] == ["class", "ID", "{", "int", "ID", "(", "int", "ID", ")"]
+    renamed = JS.replace("first", "second").replace("x", "yy")
+    both = spark.createDataFrame([("a.js", JS), ("b.js", renamed)], "file string, body string")
+    assert len({tuple(r["tokens"]) for r in source_text.token_arrays(both).collect()}) == 1
+
+
 def test_tokens_and_tree(spark, tmp_path):
     assert [x[0] for x in source_text.python_tokens("a = 1  # note\n")] == ["ID", "=", "LIT"]
     (tmp_path / "pkg").mkdir()
