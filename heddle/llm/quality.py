@@ -90,13 +90,17 @@ class Content(dict):
         self[word] = h = DIMS + xxhash.xxh64_intdigest(word) % DIMS
         return h
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Of a whole text; with a mask of wanted numbers, those alone."""
         text = text or ""
         a = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
         three = (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1]) * np.uint32(0x85EBCA6B) + a[2:]
-        counts = np.bincount((three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - DIMS.bit_length() + 1), minlength=DIMS)
-        words = np.fromiter({self[w] for w in text.split()}, np.int64)
-        return np.concatenate([np.flatnonzero(counts >= max(1, GRAM_SHARE * len(three))), np.sort(words)])
+        runs, least = (three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - DIMS.bit_length() + 1), max(1, GRAM_SHARE * len(three))
+        words = {self[w] for w in set(text.split())}
+        if wanted is None:
+            return np.concatenate([np.flatnonzero(np.bincount(runs, minlength=DIMS) >= least), sorted(words)]).astype(np.int64)
+        at, counts = np.unique(runs[wanted[runs]], return_counts=True)
+        return np.concatenate([at[counts >= least], [w for w in sorted(words) if wanted[w]]]).astype(np.int64)
 
 
 def strongest(with_p: np.ndarray, with_u: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -170,10 +174,11 @@ def scorer(spark, weights: np.ndarray, content: np.ndarray, bias: float):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (table, c, b), own = held.value, Content()
+        wanted = c != 0
         for texts in batches:
             out = []
             for at in range(0, len(texts), 200):  # a slice at a time becomes Python strings
-                out += [float(sigmoid(table[each, bins(t)].sum() + c[own.of(t)].sum() + b)) for t in texts.slice(at, 200).to_pylist()]
+                out += [float(sigmoid(table[each, bins(t)].sum() + c[own.of(t, wanted)].sum() + b)) for t in texts.slice(at, 200).to_pylist()]
             yield pa.array(out, pa.float64())
 
     return score
