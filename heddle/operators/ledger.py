@@ -120,6 +120,16 @@ def verify_gains(findings: DataFrame, metrics: DataFrame) -> DataFrame:
     return joined.select("id", "gain_metric", "actual", gain_reached("actual", target, "gain_direction").alias("reached"))
 
 
+def measured_gains(rows: DataFrame) -> DataFrame:
+    """(id, direction, reached) of (id, before, after, target, direction), all text: numbers may have a decimal comma, anything else is
+    unknown (booleans too), and a missing direction is the way from before to target."""
+    number = lambda c: F.regexp_replace(F.trim(F.col(c)), ",", ".").try_cast("double")
+    before, target = number("before"), number("target")
+    way = F.when(F.col("direction").isin("up", "down"), F.col("direction")).when(target < before, "down").when(target >= before, "up")
+    each = rows.select("id", way.alias("direction"), number("after").alias("actual"), target.alias("target"))
+    return each.select("id", "direction", gain_reached("actual", "target", "direction").alias("reached"))
+
+
 def sarif(findings: DataFrame) -> DataFrame:
     """One row, column `sarif`: a SARIF 2.1.0 document of findings (id, risk, title, priority, files). A sink: its rules and results are lists."""
     rules = findings.groupBy("risk").agg(F.min_by("title", "id").alias("title")).select(F.struct(F.col("risk").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription")).alias("r"))

@@ -6,6 +6,8 @@ a commit is an order. Literal tables stand in only where an operator reads a lan
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heddle.functions import columns as C
@@ -16,9 +18,11 @@ from heddle.operators import hotspots as H
 from heddle.operators import ledger as L
 from heddle.operators import lint
 from heddle.operators import lookups as LK
+from heddle.operators import patterns as PT
 from heddle.operators import prune as P
 from heddle.plans import history as B
 from heddle.sources import gitlog, source_text
+from heddle.streaming import live
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -298,6 +302,44 @@ def critic_outcomes(spark, d):
     return L.critic_outcomes(rows)
 
 
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity AS before, l_quantity + l_linenumber - 4 AS target, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_quantity + (l_partkey % 7) - 3.5 END AS after,
+        CASE l_suppkey % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END AS told FROM lineitem),
+    d AS (SELECT *, coalesce(told, CASE WHEN target < before THEN 'down' ELSE 'up' END) AS direction FROM n)
+    SELECT l_orderkey || ':' || l_linenumber AS id, direction, CASE direction WHEN 'up' THEN after >= target ELSE after <= target END AS reached FROM d""")
+def measured_gains(spark, d):
+    """Numbers written with a decimal comma, and every fifth one a boolean."""
+    text = lambda c: F.regexp_replace(c.cast("string"), r"\.", ",")
+    q, k = F.col("l_quantity"), F.col("l_partkey")
+    after = F.when(k % 5 == 0, "true").otherwise(text(q + k % 7 - 3.5))
+    told = F.when(F.col("l_suppkey") % 3 == 0, "up").when(F.col("l_suppkey") % 3 == 1, "down")
+    key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return L.measured_gains(t(spark, d, "lineitem").select(key.alias("id"), text(q).alias("before"), after.alias("after"), text(q + F.col("l_linenumber") - 4).alias("target"), told.alias("direction")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 20 OR p_size % 7 > 5 THEN 'red' WHEN p_size > 10 OR p_size % 7 > 3 THEN 'yellow' ELSE 'green' END AS r1,
+    CASE WHEN p_size / 50.0 > 0.7 OR 1 - p_size / 60.0 < 0.5 THEN 'red' WHEN p_size / 50.0 >= 0.45 OR 1 - p_size / 60.0 <= 0.75 THEN 'yellow' ELSE 'green' END AS r2, CASE WHEN p_size % 13 >= 10 THEN 'red' WHEN p_size % 13 >= 5 THEN 'yellow' ELSE 'green' END AS r3,
+    CASE WHEN p_size % 11 = 0 OR p_size % 9 > 7 THEN 'red' WHEN p_size % 9 >= 4 THEN 'yellow' ELSE 'green' END AS r5, CASE WHEN p_size / 50.0 > 0.85 THEN 'red' WHEN p_size / 50.0 >= 0.6 THEN 'yellow' ELSE 'green' END AS r6 FROM part""")
+def risk_rules(spark, d):
+    n = F.col("p_size")
+    return t(spark, d, "part").select("p_partkey", PT.r1_complexity(n, n % 7).alias("r1"), PT.r2_coupling(n / 50, 1 - n / 60).alias("r2"), PT.r3_copies(n % 13).alias("r3"), PT.r5_structure(n % 11 == 0, n % 9).alias("r5"), PT.r6_owner(n / 50).alias("r6"))
+
+
+@query("""WITH c AS (SELECT l_partkey AS file, count(*) AS n FROM lineitem WHERE l_quantity > 20 GROUP BY 1)
+    SELECT p_partkey AS file, CASE WHEN coalesce(n, 0)::DOUBLE / p_size < 0.3 THEN 0.0::DOUBLE ELSE least(1.0, n::DOUBLE / p_size) END AS share FROM part LEFT JOIN c ON file = p_partkey""")
+def read_levels(spark, d):
+    covered = t(spark, d, "lineitem").where("l_quantity > 20").groupBy(F.col("l_partkey").alias("file")).agg(F.count("*").alias("covered"))
+    return PT.read_levels(covered, t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_size").alias("lines")))
+
+
+@query("""WITH f AS (SELECT p_partkey, 'd' || p_size || CASE p_partkey % 4 WHEN 0 THEN '/__init__.py' WHEN 1 THEN '/index.ts' ELSE '/m.py' END AS file FROM part)
+    SELECT DISTINCT file AS node FROM f WHERE p_partkey % 4 < 2 AND file IN (SELECT file FROM f JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 45)""")
+def barrel_files(spark, d):
+    name = F.when(F.col("p_partkey") % 4 == 0, "/__init__.py").when(F.col("p_partkey") % 4 == 1, "/index.ts").otherwise("/m.py")
+    files = t(spark, d, "part").select("p_partkey", F.concat(F.lit("d"), "p_size", name).alias("file"))
+    edges = files.join(t(spark, d, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("file").alias("src"), F.col("l_suppkey").alias("dst"))
+    return PT.barrels(files.select("file").distinct(), edges)
+
+
 # -- linters ------------------------------------------------------------------------------------
 
 _LINT = """f AS (SELECT l_suppkey AS file, CASE l_linenumber % 4 WHEN 0 THEN 'simplicity' WHEN 1 THEN 'width' WHEN 2 THEN 'perf' END AS g FROM lineitem WHERE l_quantity > 20),
@@ -340,6 +382,36 @@ def changed_together(spark, d):
     return LK.together(_history(spark, d), "s1/", "s2/")
 
 
+@query(f"WITH {_HISTORY} SELECT file, count(DISTINCT sha) AS revisions, count(DISTINCT author) AS authors, min(epoch) AS first, max(epoch) AS last FROM h WHERE file IN ('s1/8', 's2/16', 's3/3', 's4/4', 's5/12') GROUP BY file")
+def revisions(spark, d):
+    return LK.revisions(_history(spark, d), "s1/8", "s2/16", "s3/3", "s4/4", "s5/12")
+
+
+@query(f"WITH {_HISTORY} SELECT count(DISTINCT sha) AS commits, count(DISTINCT sha) >= 100000000 AS available, 'only ' || count(DISTINCT sha) || ' of 100000000 commits' AS reason FROM h")
+def history_available(spark, d):
+    return PT.available(_history(spark, d), 100_000_000)
+
+
+@query(f"SELECT DISTINCT string_split({_PATH}, '/')[1] AS root FROM pages WHERE contains({_PATH}, '/') ORDER BY root LIMIT 6")
+def structure_roots(spark, d):
+    return source_text.structure_roots(t(spark, d, "pages").select(F.regexp_extract("url", r"^[^:]*://[^/?#]*/?([^?#]*)", 1).alias("file")))
+
+
+@query(B.SQL["marker_ids"])
+def live_markers(spark, d):
+    """The conversations as a stream that ends: all of it is read, and the counts of the last batch are the result.
+
+    The path is a pattern, as the stream reader takes a plain one for a folder.
+    """
+    rows, name = t(spark, d, "conversations"), f"markers_{uuid.uuid4().hex}"
+    counts = live.live_marker_counts(spark.readStream.schema(rows.schema).parquet(f"{d}/conversations.parque[t]"), "text", r"\b(th\w\w)\b")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    stream = (writer.option("checkpointLocation", f"{root.rstrip('/')}/heddle-{name}") if root else writer).start()
+    stream.awaitTermination()
+    return spark.table(name)
+
+
 @query(f"SELECT * FROM ({B.SQL['concentration']}) ORDER BY edits DESC, item LIMIT 20")
 def concentration_top(spark, d):
     return H.top(B.concentration(spark, d), 20, F.desc("edits"), "item")
@@ -365,7 +437,7 @@ def crossings_top(spark, d):
     return H.top(B.crossings(spark, d), 12, F.desc("n"), "crossing")
 
 
-@query(f"SELECT * FROM ({B.SQL['external_packages'] if 'external_packages' in B.SQL else SQL['external_packages']}) ORDER BY n DESC, package LIMIT 25")
+@query(f"SELECT * FROM ({SQL['external_packages']}) ORDER BY n DESC, package LIMIT 25")
 def external_top(spark, d):
     return H.top(external_packages(spark, d), 25, F.desc("n"), "package")
 
