@@ -15,13 +15,12 @@ from pyspark.sql.types import BooleanType
 
 from heddle.functions.columns import basename, dotted_suffixes, path_class
 from heddle.operators.saving import maybe_broadcast, saved
+from heddle.sources.source_text import TEXT_NAMES, TEXT_SUFFIXES
 
 HOOKS = ("method", "property", "attribute")
 INSTRUMENTABLE = ("function", "method", "module")
 REFLECTION = r"\bgetattr\(|\bimportlib\b|__import__\(|\bglobals\(\)\["
 ENTRIES = ("__init__.py", "__main__.py", "conftest.py", "setup.py", "manage.py", "wsgi.py", "asgi.py")
-TEXT_SUFFIXES = (".html", ".jinja", ".jinja2", ".j2", ".txt", ".md", ".yaml", ".yml", ".toml", ".json", ".cfg", ".ini", ".sh", ".service")
-TEXT_NAMES = ("Dockerfile", "Procfile", "Makefile", "docker-compose.yml", "compose.yaml")
 _QUOTED, _BACKED = r"""['"]([^'"\n]+)(?=['"])""", r"""['"`]([^'"`\n]+)(?=['"`])"""
 
 

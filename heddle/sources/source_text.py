@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import io
 import keyword
+import re
 import tokenize
 
 from pyspark.sql import Column, DataFrame
@@ -30,15 +31,54 @@ _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.If
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 
 
-def read_tree(spark, root: str) -> DataFrame:
-    """(file, body) of known source files below root; hidden and dependency folders are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    base = root.rstrip("/").removeprefix("file://")
-    own = files.select(name.alias("name"), F.decode("content", "UTF-8").alias("body"))
-    own = own.withColumn("file", F.expr(f"substring(name, {len(base) + 2})")).drop("name")
-    hidden = F.col("file").rlike(r"(^|/)(\.[^/]+|node_modules|vendor|dist|build|__pycache__)/")
-    return own.where(~hidden & F.regexp_extract("file", r"(\.[^./]+)$", 1).isin(*SUFFIXES)).select("file", "body")
+_LEFT_OUT = re.compile(r"\.[^/]*|node_modules|vendor|dist|build|__pycache__")
+TEXT_SUFFIXES = (".html", ".jinja", ".jinja2", ".j2", ".txt", ".md", ".yaml", ".yml", ".toml", ".json", ".cfg", ".ini", ".sh", ".service")
+TEXT_NAMES = ("Dockerfile", "Procfile", "Makefile", "docker-compose.yml", "compose.yaml")
+
+
+def listed(spark, root: str, wanted) -> list[tuple[str, str]]:
+    """(URI, path below root) of the files whose names are wanted; hidden and dependency folders aren't entered. A list of one tree's names, on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [(path, "")]
+    while todo:
+        folder, below = todo.pop()
+        for x in fs.listStatus(folder):
+            name = x.getPath().getName()
+            if x.isDirectory():
+                todo += [(x.getPath(), f"{below}{name}/")] * (not _LEFT_OUT.fullmatch(name))
+            elif wanted(name):
+                out.append((x.getPath().toString(), below + name))
+    return sorted(out, key=lambda x: x[1])
+
+
+def read_tree(spark, root: str, suffixes: tuple[str, ...] = tuple(SUFFIXES), names: tuple[str, ...] = ()) -> DataFrame:
+    """(file, body) of the files below root with one of those suffixes or names; hidden and dependency folders are left out.
+
+    Names are listed first, and bodies are read by the tasks: Spark's own file sources pass over every name that begins with
+    an underscore, such as __init__.py. Undecodable bytes are replaced.
+    """
+    found = listed(spark, root, lambda n: n.endswith(suffixes) or n in names)
+
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for uri, file in zip(batch["uri"], batch["file"], strict=True):
+                system, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+                with system.open_input_stream(path, compression=None) as source:
+                    rows.append((file, source.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["file", "body"])
+
+    rows = spark.createDataFrame(found, "uri string, file string").repartition(max(1, min(1_000, len(found) // 50)))
+    return rows.mapInPandas(read, "file string, body string")
+
+
+def read_texts(spark, root: str) -> DataFrame:
+    """(file, body) of templates, settings and scripts below root, which may call code by its name."""
+    return read_tree(spark, root, TEXT_SUFFIXES, TEXT_NAMES)
 
 
 def _type_only(stack: list[ast.AST]) -> bool:

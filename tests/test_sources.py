@@ -94,7 +94,15 @@ def test_tokens_and_tree(spark, tmp_path):
     (tmp_path / "pkg" / "a.py").write_text("x = 1")
     (tmp_path / ".hid" / "b.py").write_text("x = 1")
     (tmp_path / "c.txt").write_text("x")
-    assert [(r["file"], r["body"]) for r in source_text.read_tree(spark, str(tmp_path)).collect()] == [("pkg/a.py", "x = 1")]
+    (tmp_path / "pkg" / "__init__.py").write_bytes(b"y = '\xff'")
+    (tmp_path / "pkg" / "node_modules").mkdir()
+    (tmp_path / "pkg" / "node_modules" / "d.js").write_text("x")
+    (tmp_path / "Makefile").write_text("all:")
+    read = lambda f: sorted((r["file"], r["body"]) for r in f(spark, str(tmp_path)).collect())
+    assert read(source_text.read_tree) == [("pkg/__init__.py", "y = '\ufffd'"), ("pkg/a.py", "x = 1")]
+    assert read(source_text.read_texts) == [("Makefile", "all:"), ("c.txt", "x")]
+    (tmp_path / "none").mkdir()
+    assert source_text.read_tree(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_package_roots(spark):
