@@ -8,7 +8,7 @@ they fill best, whole runs of equal sequences at a time. The plan is a list of s
 rank among the pieces of their length.
 
 The rank is found without gathering a length in one task: each length is dealt into salts of a
-few hundred pieces or more, ranked within, and shifted by the number of pieces in the salts before.
+hundred pieces or more, ranked within, and shifted by the number of pieces in the salts before.
 
 Cases: a null or empty text is one piece holding the end id alone; equal rows are packed each;
 a null identifier is packed like any other. Only a document longer than `capacity` is cut. An
@@ -30,7 +30,7 @@ from heddle.llm.files import arrow_rows
 
 CAPACITY, END_ID = 2048, 0
 #: Ranks in one task, at least, and tasks over all lengths, at most about (bounds the broadcast).
-SALT_ROWS, SALTS = 500, 20_000
+SALT_ROWS, SALTS = 100, 20_000
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
