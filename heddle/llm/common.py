@@ -13,6 +13,8 @@ from heddle.operators import graph
 
 #: Rows up to which a side may be broadcast; it is counted first, and beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Whole texts that travel to Python at a time, at most.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +43,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/heddle-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows from now on.
+
+    A batch is held by the JVM outside its heap, with room to grow, and by Python, in every task of an executor at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs nothing.
 
     The files go when the result is no longer referenced (cleanCheckpoints).
     """
     shared_root(df.sparkSession)
+    small_batches(df.sparkSession)
     return graph.saved(df)
 
 

@@ -41,7 +41,7 @@ _LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 40])
 _BINS, _STATS = len(_SHARES) + 1, 10
 SIZE = (len(_MARKS) + _STATS) * _BINS
 CONTENT, LEAST_Z, GRAM_SHARE, DIMS = 512, 5.0, 1 / 500, 1 << 14
-_CACHED = 300_000
+_CACHED = 100_000
 
 
 def _classes() -> np.ndarray:

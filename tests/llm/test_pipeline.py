@@ -78,3 +78,22 @@ def test_matches_sql(spark, name):
     got = queries.QUERIES[name](spark, str(DATA))
     assert sorted(got.columns) == sorted(columns)
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_python_gets_few_texts_at_a_time(spark, tables):
+    """A batch is held several times outside the heap, in every task of an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{tables[0]}/documents.parquet"), tables[0]).count()
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    assert max(r["n"] for r in spark.range(5_000, numPartitions=1).mapInArrow(sizes, "n long").collect()) <= 1_000
+    spark.conf.set(key, "300")
+    corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{tables[0]}/documents.parquet"), tables[0]).count()
+    assert spark.conf.get(key) == "300"
+    spark.conf.unset(key)
