@@ -23,7 +23,7 @@ All pairs of a band are never made. Candidates are compared exactly, on their fu
 A band whose members are one component is done, as more links would change nothing; so a family of
 thousands of copies costs a few comparisons a copy. Step 3 takes the nodes of all other bands, of any size, and only
 their shingles that a node of another component has too. A node with fewer of those than SHARE of its
-set can have no link left and goes (PASSES times, as each pass makes other shingles rarer). Of the rest, each
+set can have no link left and goes (again and again while a pass leaves less than SHRINKS of the nodes, as each makes other shingles rarer). Of the rest, each
 keeps the rarest size - needed + 1; two linked sets share one of these. That is exact: one common band suffices
 to be compared, and what merely quotes a common passage is dropped before any pair is made.
 
@@ -40,7 +40,6 @@ with the same number, each with a kept row. An empty table gives no rows; other
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -52,38 +51,63 @@ from heddle.operators.graph import weak_components
 from heddle.operators.saving import release
 
 WORDS, SHARE = 5, 0.8
-HASHES, MISS, SIZE_STEP, PASSES, SEED = 448, 1.2e-3, 2.0, 2, 5
+HASHES, MISS, SIZE_STEP, SHRINKS, SEED = 448, 1.2e-3, 2.0, 0.9, 5
 _ROW = "struct<f:bigint,g:bigint,i:bigint>"
-_WORD = re.compile(r"\w+")
-_CACHED = 300_000
+#: Texts that are taken apart at a time.
+SLICE = 100
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; holds a bounded number of them."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > _CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+@lru_cache
+def _letters() -> np.ndarray:
+    """For each code point a random odd number, 0 where the code point is part of no word."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
+    code = np.arange(0x110000, dtype=np.uint64)
+    low, high = code & np.uint64(0xFFFF), code >> np.uint64(16)
+    word = np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)  # what \w means
+    return np.where(word, odd[low] + high * np.uint64(0xC2B2AE3D27D4EB4E), np.uint64(0))
 
 
-def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of a whole text's shingles."""
-    words = _WORD.findall((text or "").lower())
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(w) < WORDS:
-        w = np.concatenate([w, np.zeros(WORDS - len(w), np.uint64)]) if len(w) else w
+@lru_cache
+def _powers(bits: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, 0x9FB21C651E98DF25, np.uint64)]))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of lower-case texts, one after the other, and for each text the number of its words."""
+    a = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    values = _letters()[a]
+    at = np.flatnonzero(values)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))  # of each word, among the letters
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    h = np.add.reduceat(values[at] * _powers(max(10, int(place.max()).bit_length()))[place], first)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h, np.diff(np.searchsorted(at[first], ends), prepend=0)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each whole text the ascending distinct 64-bit hashes of its shingles."""
+    h, counts = word_hashes([(t or "").lower() for t in texts])
+    room = np.where(counts > 0, np.maximum(counts, WORDS), 0)  # a text of fewer words is filled up with zeros
+    starts = np.cumsum(room) - room
+    w = np.zeros(int(room.sum()) + WORDS, np.uint64)
+    w[np.arange(len(h)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)] = h
     n = len(w) - WORDS + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    s = np.zeros(n, np.uint64)
+    s = np.zeros(n, np.uint64)  # windows that reach into the next text are left out below
     for i in range(WORDS):
-        s = (s ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        s ^= w[i : i + n]
+        s *= np.uint64(0x9E3779B97F4A7C15)
         s ^= s >> np.uint64(29)
-    return np.unique(s)
+    out = []
+    for at, count in zip(starts.tolist(), room.tolist(), strict=True):
+        own = s[at : at + max(0, count - WORDS + 1)]
+        own.sort()
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if count else own)
+    return out
 
 
 @lru_cache
@@ -154,11 +178,10 @@ def _sketch(share: float):
     def sketch(batches):
         import pyarrow as pa
 
-        hashes = _Hashes()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t, hashes) for t in part["text"].to_pylist()]
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                sets = shingle_sets(part["text"].to_pylist())
                 key = np.array([(xxhash.xxh64_intdigest(s), xxhash.xxh64_intdigest(s, 1)) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [part["row"], part["id"], pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s, share) for s in sets], pa.list_(pa.int64()))],
@@ -171,18 +194,36 @@ def _sketch(share: float):
 def _sets(batches):
     import pyarrow as pa
 
-    hashes = _Hashes()
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.slice(at, 500)
-            sets = [shingle_set(t, hashes).view(np.int64) for t in part["text"].to_pylist()]
+        for at in range(0, len(batch), SLICE):
+            part = batch.slice(at, SLICE)
+            sets = [x.view(np.int64) for x in shingle_sets(part["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([part["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
 
+def _hashed(df: DataFrame, rows: int) -> DataFrame:
+    """df, unique in the key of a join, as its small side: broadcast if it may be, else hashed after a shuffle, so that the large side isn't sorted."""
+    small = maybe_broadcast(df, rows)
+    return df.hint("shuffle_hash") if small is df else small
+
+
+def only_rows(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows whose place is in own (row), found where they are read: own travels as a bit a place, 64 places of a file to a number."""
+    block = [F.col("row.f").alias("f"), F.col("row.g").alias("g"), F.expr("shiftright(row.i, 6)").alias("block")]
+    bits = saved(own.groupBy(*block).agg(F.expr("bit_or(shiftleft(1L, int(row.i & 63)))").alias("bits")))
+    found = rows.select("*", *block).join(maybe_broadcast(bits, 2 * bits.count()), ["f", "g", "block"])
+    return found.where("getbit(bits, int(row.i & 63)) = 1").select(*rows.columns)
+
+
 def sets_of(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, s): the shingle sets of the wanted (node), each read from its own row."""
+    """(node, s): the shingle sets of the wanted (node), each read from its own row.
+
+    If the wanted are too many for a broadcast, only their texts are shuffled, not all.
+    """
     own = saved(nodes.select("node", "first").join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")))
-    return saved(rows.join(maybe_broadcast(own, 4 * own.count()), "row").select("node", "text").mapInArrow(_sets, "node long, s array<long>"))
+    small = maybe_broadcast(own, 4 * own.count())
+    texts = only_rows(rows, own) if small is own else rows
+    return saved(texts.join(small, "row").select("node", "text").mapInArrow(_sets, "node long, s array<long>"))
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -236,11 +277,13 @@ def prefix_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, share: fl
     """Candidates (a, b) of different components among labels (node, label): every linked pair is one of them."""
     sets = sets_of(rows, nodes, labels.select("node")).join(labels, "node")
     left = sets.select("node", "label", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-    for _ in range(PASSES):
+    before, now = None, labels.count()
+    while before is None or now < SHRINKS * before:
         release(rows.sparkSession)
         left = saved(left.join(_foreign(left), "shingle").select("node", "label", "size", "shingle"))
         able = saved(left.groupBy("node", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _needed("size", share)).select("node"))
-        left = left.join(maybe_broadcast(able, able.count()), "node", "left_semi")
+        before, now = now, able.count()
+        left = left.join(maybe_broadcast(able, now), "node", "left_semi")
     own = Window.partitionBy("node")
     placed = left.join(_foreign(left), "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("common", F.count("*").over(own))
     rare = saved(placed.where(F.col("place") <= F.col("common") - _needed("size", share) + 1).select("node", "label", "shingle"))
@@ -258,7 +301,7 @@ def _classes(rows: DataFrame, share: float) -> DataFrame:
     each = saved(each.select("row", "id", "k1", "k2"))
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    members = saved(banded.join(maybe_broadcast(shared, shared.count()), "band"))
+    members = saved(banded.join(_hashed(shared, shared.count()), "band"))
     weights = saved(members.groupBy("node").agg(F.sum("n").alias("weight")))
     members, nodes = saved(members.select("band", "node").join(weights, "node")), saved(nodes.drop("bands"))
     del banded, shared, weights

@@ -174,6 +174,34 @@ def test_near_crowds_and_families(spark):
             assert all(sets[i] == x for i, c in want.items() if c == r["class_id"])
 
 
+def test_near_reads_wanted_texts_only(spark, tmp_path, monkeypatch):
+    texts = near_corpus()
+    docs = frame(spark, texts)
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for d in (spark.read.parquet(f"{tmp_path}/docs"), docs):
+        rows = near_dedup._rows(near_dedup.numbered(d, "n"), "n", "doc_id", "text")
+        own = rows.where("id % 7 = 3").select("row")
+        assert sorted(r["id"] for r in near_dedup.only_rows(rows, own).collect()) == [i for i, _ in texts if i % 7 == 3]
+    seen = []
+    wanted = near_dedup.only_rows
+    monkeypatch.setattr(near_dedup, "only_rows", lambda rows, own: seen.append(own.count()) or wanted(rows, own))
+    monkeypatch.setattr(near_dedup, "maybe_broadcast", lambda df, rows: df)  # as if all were too large
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(frame(spark, texts)).collect()}
+    assert got == brute_classes(texts) and seen and max(seen) < len(texts)
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["", " ", "a", "a_b c-d", "été çà  x²½ \U0001d518\U0001d52b 한국어 日本語, ٣٤.", "w" * 3000 + " " + "w" * 3001, "b a b", "".join(map(chr, range(0x3000)))]
+    texts = [t.lower() for t in texts]
+    words = [re.findall(r"\w+", t) for t in texts]
+    hashes, counts = near_dedup.word_hashes(texts)
+    flat = list(itertools.chain(*words))
+    assert counts.tolist() == [len(w) for w in words] and len(hashes) == len(flat)
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+    for t, s in zip(texts, near_dedup.shingle_sets(texts), strict=True):
+        assert s.tolist() == near_dedup.shingle_sets([t])[0].tolist() and len(s) == len(brute_sets([(0, t)])[0])
+
+
 def test_near_empty(spark):
     assert near_dedup.near_classes(frame(spark, [])).count() == 0
 
