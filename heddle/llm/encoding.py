@@ -5,7 +5,7 @@ cuts; so ids are kept by piece of text and, below that, by the tokenizer's own p
 pre-tokens not yet seen reach the library's model. A text that holds the string of an added token, such as
 <|endoftext|>, goes to the library as a whole, which makes one id of it. A piece with any character for which the split
 can't be shown to be the tokenizer's goes through the whole library instead. An Encoder keeps
-at most CACHED pieces and PRETOKENS pre-tokens and then starts afresh, so memory is bounded; the ids don't
+at most CACHED pieces (or as many as it is told) and PRETOKENS pre-tokens and then starts afresh, so memory is bounded; the ids don't
 depend on what it holds.
 """
 
@@ -14,8 +14,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
-CACHED, PRETOKENS = 250_000, 400_000
+CACHED, PRETOKENS, KEPT = 250_000, 400_000, 400_000
 
 #: Characters of which Python's classes and the tokenizers' are known to agree.
 _PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u012f\u0131-\u024f]+")
@@ -56,9 +57,9 @@ class _Odd(Exception):
 class _Pieces(dict):
     """Ids by piece of text; a piece not yet seen is learnt. before: what precedes each piece in its text."""
 
-    def __init__(self, tokenizer, before: str, pattern: re.Pattern, pretokens: dict, kind: str):
+    def __init__(self, tokenizer, before: str, pattern: re.Pattern, pretokens: dict, kind: str, most: int):
         super().__init__()
-        self.kind = kind
+        self.kind, self.most = kind, most
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
         self.before, self.pattern, self.pretokens = before, pattern, pretokens
 
@@ -68,7 +69,7 @@ class _Pieces(dict):
                 return b""
         elif not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Odd
-        if len(self) > CACHED:
+        if len(self) > self.most:
             self.clear()
         known, full = self.pretokens, self.before + piece if self.before else piece.lower()
         if piece.isalpha() and max(piece) < _LAST and "\u0130" not in piece:  # a word
@@ -102,11 +103,11 @@ class _Pieces(dict):
 class Encoder:
     """encode(texts): for each text its ids as bytes, unsigned little-endian numbers of `width` bytes, 2 or 4."""
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, cached: int | None = None):
         self.tokenizer = load(path)
         vocab = self.tokenizer.get_vocab()
         self.word_ends = sum(t.endswith("</w>") for t in vocab) > len(vocab) // 10
-        self.pieces = _Pieces(self.tokenizer, *(("", _WORD) if self.word_ends else (" ", _SPACED)), {}, {2: "H", 4: "I"}[width])
+        self.pieces = _Pieces(self.tokenizer, *(("", _WORD) if self.word_ends else (" ", _SPACED)), {}, {2: "H", 4: "I"}[width], cached or CACHED)
         self.get = self.pieces.__getitem__
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
@@ -133,3 +134,9 @@ class Encoder:
             first, *rest = _CUT.split(text)
             last = [rest.pop()] if rest and rest[-1][-1].isspace() else []
             return self.pieces.whole(first) + b"".join([self.get(p[1:]) for p in rest]) + b"".join(map(self.pieces.whole, last))
+
+
+@lru_cache(maxsize=1)
+def kept_encoder(path: str, width: int = 4) -> Encoder:
+    """An Encoder that a Python worker keeps from one task to the next, with up to KEPT pieces it has learnt."""
+    return Encoder(path, width, KEPT)

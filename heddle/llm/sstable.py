@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import remove, saved, shared_dir
-from heddle.llm.encoding import Encoder, tokenizer_path, width_of
+from heddle.llm.encoding import kept_encoder, tokenizer_path, width_of
 from heddle.llm.files import arrow_rows, attempt_name, open_fs, partition_id
 
 MAGIC = b"HSSTABL1"
@@ -190,7 +190,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     schema, width = "shard int, part int, path string, entries long, ids long", width_of(tokenizer, end_id)
 
     def write(batches):
-        encoder, end, writer, part = Encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), None, 0
+        encoder, end, writer, part = kept_encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), None, 0
         fs, root = open_fs(folder)
 
         def close():
