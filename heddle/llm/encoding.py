@@ -61,6 +61,7 @@ class _Pieces(dict):
         super().__init__()
         self.kind, self.most = kind, most
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+        self.space = self.letters[32]
         self.before, self.pattern, self.pretokens = before, pattern, pretokens
 
     def __missing__(self, piece: str) -> bytes:
@@ -72,9 +73,9 @@ class _Pieces(dict):
         if len(self) > self.most:
             self.clear()
         known, full = self.pretokens, self.before + piece if self.before else piece.lower()
-        if piece.isalpha() and max(piece) < _LAST and "\u0130" not in piece:  # a word
+        if piece.isalpha() and (piece.isascii() or max(piece) < _LAST and "\u0130" not in piece):  # a word
             out = known.get(full) or self.learn(full)
-        elif piece[-1] in _MARKS and piece[:-1].isalpha() and max(piece) < _LAST and "\u0130" not in piece:  # a word and a mark
+        elif piece[-1] in _MARKS and piece[:-1].isalpha() and (piece.isascii() or max(piece) < _LAST and "\u0130" not in piece):  # a word and a mark
             out = (known.get(full[:-1]) or self.learn(full[:-1])) + (known.get(full[-1]) or self.learn(full[-1]))
         else:
             out = self.plain(full) if _PLAIN.fullmatch(piece) else self.library(self.before + piece)
@@ -95,7 +96,14 @@ class _Pieces(dict):
     def learn(self, pretoken: str) -> bytes:
         if len(self.pretokens) > PRETOKENS:
             self.pretokens.clear()
-        name = pretoken if pretoken.isascii() and pretoken.isalnum() else pretoken.encode().decode("latin-1").translate(self.letters)
+        if not pretoken.isascii():
+            name = pretoken.encode().decode("latin-1").translate(self.letters)
+        elif pretoken.isalnum():
+            name = pretoken
+        elif pretoken[0] == " " and pretoken[1:].isalnum():
+            name = self.space + pretoken[1:]
+        else:
+            name = pretoken.translate(self.letters)
         self.pretokens[pretoken] = out = array(self.kind, [t.id for t in self.model.tokenize(name)]).tobytes()
         return out
 
