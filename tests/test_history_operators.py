@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,36 @@ def test_empty_inputs(spark):
     assert cooccur.cooccurrence(none, "sha", "file").count() == 0
     assert graph.weak_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert graph.cycles(edges(spark).where("false")).count() == 0
+
+
+def test_all_windows_are_shuffled_once(spark):
+    rows = spark.range(8).select(F.col("id").alias("f"), F.array(*[F.lit(f"t{i}") for i in range(12)]).alias("w"))
+    for found in (clones.clone_pairs(clones.windows(rows, "f", "w", 4)), clones.skipped_windows(clones.windows(rows, "f", "w", 4))):
+        plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange") <= 2 and "Scan ExistingRDD" not in plan  # the other has pairs or sums; nothing was saved before
+
+
+def test_clones_against_brute_force(monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([*range(30), None]), [rng.choice("ab") for _ in range(rng.randrange(30))]) for _ in range(80)]  # owners that repeat, one unknown
+    sets = {}
+    for owner, w in rows:
+        for at in range(len(w) - 4):
+            sets.setdefault(tuple(w[at : at + 5]), set()).add(owner)
+    words = {c: hash(("word", c)) for c in "ab"}
+    batches = [pa.RecordBatch.from_pydict({"owner": pa.array([o for o, _ in part], "int64"), "w": pa.array([[words[c] for c in w] for _, w in part], pa.list_(pa.int64())), "window": [5] * len(part)}) for i in range(0, 80, 7) if (part := [r for r in rows[i : i + 7] if len(r[1]) >= 5])]
+    monkeypatch.setattr(clones, "PAIRS_AT_ONCE", 50)
+    for at_once in (60, 1_000_000):
+        monkeypatch.setattr(clones, "AT_ONCE", at_once)
+        for most in (1, 6, 16, 30, 50):
+            dealt = sorted((r for b in clones._packed(iter(batches), 6, most) for r in b.to_pylist()), key=lambda r: r["bucket"])
+            dealt = [pa.RecordBatch.from_pylist(dealt[i : i + 5], pa.schema({"bucket": pa.int32(), "h": pa.list_(pa.int64()), "owner": pa.list_(pa.int64())})) for i in range(0, len(dealt), 5)]
+            got, want = {}, {}
+            for b in clones._pairs(iter(dealt), most):
+                for r in b.to_pylist():
+                    got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["shared"]
+            for owners in sets.values():
+                for a, b in itertools.combinations(sorted(owners - {None}), 2) if len(owners) <= most else ():
+                    want[a, b] = want.get((a, b), 0) + 1
+            assert got == want and sum(b["skipped"][0].as_py() for b in clones._skipped(iter(dealt), most)) == sum(len(o) > most for o in sets.values())
+            assert sum(len(h) for b in dealt for h in b["h"].to_pylist()) <= len(sets) * (most + 1) or at_once == 60
