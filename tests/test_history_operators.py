@@ -123,6 +123,15 @@ def test_cycles_against_brute_force(spark):
     assert found(graph.cycles(edges(spark, *es))) == [list(w) for w in want if len(w) > 1]
 
 
+def test_lists_of_neighbours_cut_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LIST", 4)
+    rows = edges(spark, *[("hub", f"n{i}") for i in range(20)], *[(f"n{i}", "hub") for i in range(20)], ("hub", "end"))
+    lists = graph._lists(rows, "src", "dst").collect()
+    assert sorted(x for r in lists if r["node"] == "hub" for x in r["others"]) == sorted(["end", *[f"n{i}" for i in range(20)]])
+    assert max(len(r["others"]) for r in lists) < 20 and sum(len(r["others"]) for r in lists) == 41
+    assert found(graph.cycles(rows)) == [sorted(["hub", *[f"n{i}" for i in range(20)]])]
+
+
 def test_type_only_cycles_keep_set_equality(spark):
     runtime = edges(spark, ("a", "b"), ("b", "a"))
     full = edges(spark, ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("p", "q"), ("q", "p"))
