@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from heddle.functions.columns import floor_quantile, ratio
 from heddle.functions.params import DEFAULTS
+from heddle.operators.saving import maybe_broadcast, pieces, saved
 
 
 def bounded_groups(rows: DataFrame, group: str, item: str, most: int = DEFAULTS.mega_commit_files, *more: str) -> DataFrame:
     """Distinct (group, item, *more) of groups with 1..most items.
 
-    Items are counted first, which combines before the shuffle, so a group that is too large never meets in one task.
+    Items are counted first, which combines before the shuffle, and groups over the limit, which are few, leave before rows
+    meet by group, so a group that is too large never meets in one task.
     """
-    distinct = rows.select(F.col(group).alias("group"), F.col(item).alias("item"), *more).where("group is not null and item is not null").distinct()
-    small = distinct.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("group")
-    return distinct.join(small, "group", "left_semi")
+    distinct = rows.select(F.col(group).alias("group"), F.col(item).alias("item"), *more).where("group is not null and item is not null").repartition(pieces(rows), "group", "item").distinct()
+    large = saved(distinct.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > most).select("group"))
+    return distinct.join(maybe_broadcast(large, large.count()), "group", "left_anti")
 
 
 def cooccurrence(rows: DataFrame, group: str, item: str, most: int = DEFAULTS.mega_commit_files, min_shared: int = DEFAULTS.coupling_min_shared, min_degree: float = DEFAULTS.coupling_min_degree) -> DataFrame:
@@ -44,7 +46,7 @@ def examples(rows: DataFrame, key: str, example: str, newest: str, most: int) ->
 
 def group_layers(rows: DataFrame, group: str, item: str, layer: str, most: int = DEFAULTS.mega_commit_files) -> DataFrame:
     """(group, layers): the sorted distinct layers of every group with at most `most` items."""
-    return bounded_groups(rows, group, item, most, layer).groupBy("group").agg(F.array_sort(F.collect_set(layer)).alias("layers"))
+    return bounded_groups(rows, group, item, most, layer).repartition(pieces(rows), "group").groupBy("group").agg(F.array_sort(F.collect_set(layer)).alias("layers"))
 
 
 def containment(layers: DataFrame) -> DataFrame:

@@ -209,3 +209,21 @@ def test_clones_against_brute_force(monkeypatch):
                     want[a, b] = want.get((a, b), 0) + 1
             assert got == want and sum(b["skipped"][0].as_py() for b in clones._skipped(iter(dealt), most)) == sum(len(o) > most for o in sets.values())
             assert sum(len(h) for b in dealt for h in b["h"].to_pylist()) <= len(sets) * (most + 1) or at_once == 60
+
+
+def test_rows_a_task_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from heddle.operators import saving
+    from heddle.plans import history
+
+    for name, copies in (("one", 1), ("four", 4)):
+        spark.range(10_000 * copies).select(F.col("id").alias("l_orderkey"), (F.col("id") % 7).alias("l_partkey"), (F.col("id") % 5).alias("l_suppkey")).coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        spark.range(9).select(F.col("id").alias("o_orderkey"), F.lit("x").alias("o_orderpriority"), F.current_timestamp().alias("o_orderdate")).write.parquet(str(tmp_path / name / "orders.parquet"))
+    one, four = (saving.pieces(spark.read.parquet(str(tmp_path / x / "lineitem.parquet")), 0.01) for x in ("one", "four"))
+    assert one > 1 and 3 * one <= four <= 5 * one
+    monkeypatch.setattr(history, "pieces", lambda df: 13)
+    monkeypatch.setattr(cooccur, "pieces", lambda df: 17)
+    plan = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert ", 13), REPARTITION_BY_NUM" in plan(history._painful(spark, str(tmp_path / "one")))
+    rows = spark.range(40).select((F.col("id") % 3).alias("g"), "id", F.lit("a").alias("layer")).unionByName(spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, 2, "b")], "g long, id long, layer string"))
+    layers = cooccur.group_layers(rows, "g", "id", "layer", 2)  # three groups are too large
+    assert plan(layers).count(", 17), REPARTITION_BY_NUM") == 2 and [tuple(r) for r in layers.collect()] == [(7, ["a", "b"])]
